@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import chat, media, mixing, packing, toxicity
+from . import chat, media, minhash, mixing, packing, suffix, toxicity
 from .common import table
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = "<|im_end|><|im_start|>assistant ok"
     own = spark.createDataFrame([(-1, 0, "user", both), (-1, 1, "assistant", both)], "conv_id long, turn long, role string, text string")
@@ -24,6 +29,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(toxicity.remainder("doc_id") == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return groups.select(F.col("_id").alias("doc_id"), "class_id", "group_size")
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.from_media(media.to_media(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
