@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import chat, media, minhash, mixing, packing, suffix, toxicity
+from . import chat, media, minhash, mixing, mixture, packing, store, suffix, toxicity
 from .common import table
 
 
@@ -29,11 +29,20 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(toxicity.remainder("doc_id") == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = store.write(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return store.read(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return groups.select(F.col("_id").alias("doc_id"), "class_id", "group_size")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.from_media(media.to_media(table(spark, sf_dir, "documents").select("doc_id", "text")))
 

@@ -59,7 +59,7 @@ def word_slots(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     before = np.concatenate([[0], np.cumsum(full)])
     words, offs = words.filter(pa.array(full)), before[offs]
     coded = words.dictionary_encode()
-    slot = np.fromiter((xxhash.xxh64_intdigest(w) >> (64 - WORD_BITS) for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+    slot = np.fromiter((xxhash.xxh64_intdigest(w) >> (64 - WORD_BITS) for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()), np.int64, len(coded.dictionary))
     return (slot[coded.indices.to_numpy(zero_copy_only=False)] if len(slot) else np.zeros(0, np.int64)), offs
 
 
