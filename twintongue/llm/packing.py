@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_of, col_of, sliced, small_batches
-from .tokens import WORD_BPE, WordEncoder, tokenizer_path, with_end
+from .tokens import WORD_BPE, shared_encoder, tokenizer_path, with_end
 
 
 @dataclass(frozen=True)
@@ -177,7 +177,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, packer = WordEncoder(path), Packer(limits, TaskContext.get().partitionId() << 40)
+        enc, packer = shared_encoder(path), Packer(limits, TaskContext.get().partitionId() << 40)
 
         def rows_out() -> pa.RecordBatch:
             got, packer.out = packer.out, []

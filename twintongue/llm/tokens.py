@@ -18,6 +18,9 @@ from .common import ragged
 
 #: The default tokenizer file, a parameter of the operators.
 WORD_BPE = "word_bpe_49k.json"
+#: Stands between words that are encoded together.
+SEPARATOR = "\x1e"
+LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
 
 
 def tokenizer_path(name: str = WORD_BPE) -> str:
@@ -31,11 +34,17 @@ def tokenizer_path(name: str = WORD_BPE) -> str:
 class WordEncoder:
     """Encodes arrays of texts; keeps the ids of at most `most_words` distinct words."""
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    def __init__(self, path: str, most_words: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok, self.most = Tokenizer.from_file(path), most_words
+        alone = self.tok.encode(SEPARATOR, add_special_tokens=False).ids
+        # A separator that is not one id of its own is not usable; then no id equals it and words are encoded one by one.
+        self.separator = alone[0] if len(alone) == 1 else None
+        # Lower-case ASCII letters pass the normalizer and the splitter as they are: the model alone gives their ids, if it does so for these.
+        probe = ["a", "the", "z", "tokenizer", "qxzvkj", "abcdefghijklmnopqrstuvwxyz", "don", "s", "t", "re", "ll"]
+        self.direct = all([t.id for t in self.tok.model.tokenize(w)] == self.tok.encode(w, add_special_tokens=False).ids for w in probe)
         self.forget()
 
     def forget(self) -> None:
@@ -44,21 +53,50 @@ class WordEncoder:
         self.start, self.len = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.used = 0
 
+    def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words, and how many each has."""
+        if self.separator is None or any(SEPARATOR in w for w in words):
+            got = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+            return np.fromiter((i for x in got for i in x), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
+        # One text of all words is several times as fast as a text for each word.
+        ids = np.array(self.tok.encode_batch_fast([f" {SEPARATOR} ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        cut = np.flatnonzero(ids == self.separator)
+        assert len(cut) == len(words) - 1, "the separator is no id of its own here"
+        return np.delete(ids, cut), np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1
+
+    def _store(self, words: list[str], flat: np.ndarray, lens: np.ndarray) -> None:
+        n, m = len(flat), len(self.at)
+        while self.used + n > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while m + len(words) > len(self.start):
+            self.start, self.len = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.len))
+        self.ids[self.used : self.used + n] = flat
+        self.start[m : m + len(words)] = self.used + np.cumsum(lens) - lens
+        self.len[m : m + len(words)] = lens
+        self.at.update(zip(words, range(m, m + len(words))))
+        self.used += n
+
     def _learn(self, words: list[str]) -> None:
-        for lo in range(0, len(words), 20_000):
-            part = words[lo : lo + 20_000]
-            got = [e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
-            lens = np.fromiter(map(len, got), np.int64, len(got))
-            n, m = int(lens.sum()), len(self.at)
-            while self.used + n > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while m + len(part) > len(self.start):
-                self.start, self.len = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.len))
-            self.ids[self.used : self.used + n] = np.fromiter((i for x in got for i in x), np.uint32, n)
-            self.start[m : m + len(part)] = self.used + np.cumsum(lens) - lens
-            self.len[m : m + len(part)] = lens
-            self.at.update(zip(part, range(m, m + len(part))))
-            self.used += n
+        """Letters followed by marks are two pieces to the tokenizer in any case, and ASCII letters are lowered first."""
+        own = pa.array(words, pa.string())
+        parted = pc.match_substring_regex(own, f"^{LETTERS}[.,;:!?]*$")
+        heads = pc.if_else(parted, pc.ascii_rtrim(own, ".,;:!?"), own)
+        heads = pc.if_else(pc.and_(parted, pc.string_is_ascii(own)), pc.ascii_lower(heads), heads).to_numpy(zero_copy_only=False).tolist()
+        tails = pc.if_else(parted, pc.replace_substring_regex(own, f"^{LETTERS}", ""), "").to_numpy(zero_copy_only=False).tolist()
+        todo = [w for w in dict.fromkeys(heads + tails) if w not in self.at]
+        plain = [w for w in todo if w.isascii() and w.isalpha() and w.islower()] if self.direct else []
+        if plain:
+            got = [[t.id for t in self.tok.model.tokenize(w)] for w in plain]
+            self._store(plain, np.fromiter((i for x in got for i in x), np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
+            todo = [w for w in todo if w not in self.at]
+        for lo in range(0, len(todo), 5000):
+            self._store(todo[lo : lo + 5000], *self._ids_of(todo[lo : lo + 5000]))
+        known = [w in self.at for w in words]
+        if not all(known):
+            own = [w for w, k in zip(words, known) if not k]
+            fresh = ~np.array(known)
+            parts = np.stack([np.array(list(map(self.at.get, x)), np.int64)[fresh] for x in (heads, tails)], 1)
+            self._store(own, self.ids[ragged(self.start[parts].ravel(), self.len[parts].ravel())], self.len[parts].sum(1))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) and the offsets of each text's ids; null is empty."""
@@ -67,13 +105,15 @@ class WordEncoder:
         lists = pc.ascii_split_whitespace(texts.cast(pa.string()))
         words = lists.flatten()
         coded = words.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.at) > self.most:
             self.forget()
-        new = [w for w in distinct if w not in self.at]
-        if new:
+        place = list(map(self.at.get, distinct))
+        if None in place:
+            new = [w for w, k in zip(distinct, place) if k is None]
             self._learn(new)
-        place = np.fromiter((self.at[w] for w in distinct), np.int64, len(distinct))
+            place = list(map(self.at.get, distinct))
+        place = np.array(place, np.int64)
         which = place[coded.indices.to_numpy(zero_copy_only=False)] if len(distinct) else np.zeros(0, np.int64)
         lens = self.len[which]
         flat = self.ids[ragged(self.start[which], lens)]
@@ -82,6 +122,16 @@ class WordEncoder:
         return flat, ends[bounds - bounds[0]]
 
 
+def shared_encoder(path: str) -> WordEncoder:
+    """The encoder of this worker process, which keeps its words from task to task."""
+    import tokenizers
+
+    known = tokenizers.__dict__.setdefault("_word_encoders", {})
+    if path not in known:
+        known[path] = WordEncoder(path)
+    return known[path]
+
+
 def with_end(flat: np.ndarray, offs: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The id `end` appended to each text's ids."""
     n = len(offs) - 1
