@@ -38,12 +38,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: lineage ends here."""
+    """df as a Parquet table in the shared folder, read again: lineage ends here.
+
+    Two files for each core of the cluster at most: many small files cost more than they help.
+    """
     import uuid
 
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.coalesce(2 * spark.sparkContext.defaultParallelism).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

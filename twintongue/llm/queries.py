@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import chat, media, minhash, mixing, mixture, packing, store, suffix, toxicity
+from . import chat, media, minhash, mixing, mixture, packing, spotsigs, store, suffix, toxicity
 from .common import table
 
 
@@ -34,6 +34,11 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = spotsigs.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return prints.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return groups.select(F.col("_id").alias("doc_id"), "class_id", "group_size")
