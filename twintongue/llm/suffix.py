@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .common import SLICE_BYTES, batch_of, col_of, sliced, small_batches, string_buffers, written
 
@@ -228,6 +229,31 @@ _R = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("g", pa.int64()), ("from_
 _PIECES, _RUNS = "k long, h long, g long, off int, n long, content binary", "k long, h long, g long, from_ int, to_ int"
 
 
+def _compressed(rows: DataFrame, text_col: str) -> DataFrame:
+    """rows with the column _z, the compressed text (null stays null), instead of the text: two thirds of what a shuffle of texts writes."""
+    names = [c for c in rows.columns if c != text_col]
+    fields = {f.name: f for f in rows.schema.fields}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(1).compress
+        for b in sliced(batches, text_col):
+            z = [None if t is None else pack(t.encode()) for t in col_of(b, text_col).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(col_of(b, c) for c in names), pa.array(z, pa.binary())], [*names, "_z"])
+
+    return rows.select(*names, text_col).mapInArrow(run, StructType([*(fields[c] for c in names), StructField("_z", BinaryType())]))
+
+
+def _unpacked(z: pa.Array) -> tuple[bytes, np.ndarray]:
+    """All texts one after the other, and where each begins and ends."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    texts = [b"" if x is None else unpack(x) for x in z.to_pylist()]
+    return b"".join(texts), np.cumsum([0, *map(len, texts)])
+
+
 def _anchored(texts: DataFrame, length: int) -> DataFrame:
     """A row for each piece: its document's key, anchor hash, content hash, and place << 20 | number of windows."""
 
@@ -279,9 +305,8 @@ def _fetch(texts: DataFrame, reps: DataFrame, length: int) -> DataFrame:
     by_doc = reps.groupBy("_key").agg(F.collect_list(F.struct("_h", "_g", "_at", "_n")).alias("_want"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, "_text", 1 << 20):
-            data, offs = string_buffers(col_of(b, "_text"))
-            raw = data.tobytes()
+        for b in sliced(batches, "_z", 1 << 20):
+            raw, offs = _unpacked(col_of(b, "_z"))
             want = col_of(b, "_want")
             flat = want.flatten()
             each = np.repeat(np.arange(len(want)), np.diff(want.offsets.to_numpy()))
@@ -290,7 +315,7 @@ def _fetch(texts: DataFrame, reps: DataFrame, length: int) -> DataFrame:
             content = [raw[p : p + c] for p, c in zip(begin.tolist(), ((at & int(_PLACE)) + length - 1).tolist())]
             yield batch_of(_P, [h, h, g, np.zeros(len(h), np.int32), n, content])
 
-    return texts.join(by_doc.hint("shuffle_hash"), "_key").select("_text", "_want").mapInArrow(run, _PIECES)
+    return _compressed(texts, "_text").join(by_doc.hint("shuffle_hash"), "_key").select("_z", "_want").mapInArrow(run, _PIECES)
 
 
 def _windows(rows: DataFrame, length: int) -> DataFrame:
@@ -314,7 +339,8 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     small_batches(docs.sparkSession)
     texts = with_key(docs, text_col, id_col).select("_key", "_text")
     found = _anchored(texts, length)
-    often = found.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h")
+    # Written, so that the join deals out both sides anew and can split what a common string makes of one hash.
+    often = written(found.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h"), "suffix-hashes")
     found = written(found.join(often, "_h", "left_semi"), "suffix-pieces")
     reps = found.groupBy("_h", "_g").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_key", "_at")).alias("_rep"))
     reps = reps.select("_h", "_g", "_n", "_rep._key", "_rep._at")
@@ -344,14 +370,15 @@ def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lengt
     """docs with _kept (the bytes that stay), _n_bytes, _n_removed and _n_spans (maximal removed runs)."""
     spans = repeated_spans(docs, text_col, id_col, length, hot)
     spans = spans.groupBy("_key").agg(F.collect_set(F.struct("_from", "_to")).alias("_spans"))
-    rows = with_key(docs, text_col, id_col).join(spans.hint("shuffle_hash"), "_key", "left").drop("_key")
-    from pyspark.sql.types import BinaryType, LongType, StructField, StructType
-
-    names = list(docs.columns)
+    keyed = _compressed(with_key(docs, text_col, id_col).drop("_text"), text_col)
+    rows = keyed.join(spans.hint("shuffle_hash"), "_key", "left").drop("_key")
+    names = [c for c in docs.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, "_text"):
-            data, offs = string_buffers(col_of(b, "_text"))
+        for b in sliced(batches, "_z", 2 << 20):
+            z = col_of(b, "_z")
+            raw, offs = _unpacked(z)
+            data = np.frombuffer(raw, np.uint8)
             kept, removed, runs = [], [], []
             for i, spans in enumerate(col_of(b, "_spans").to_pylist()):
                 mine = data[offs[i] : offs[i + 1]]
@@ -367,8 +394,10 @@ def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lengt
                 kept.append(mine[~gone].tobytes())
                 removed.append(int(gone.sum()))
                 runs.append(int(gone[:1].sum() + np.count_nonzero(gone[1:] & ~gone[:-1])))
-            own = [pa.array(kept, pa.binary()), pa.array(np.diff(offs)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(col_of(b, c) for c in names), *own], [*names, "_kept", "_n_bytes", "_n_removed", "_n_spans"])
+            own = {"_kept": pa.array(kept, pa.binary()), "_n_bytes": pa.array(np.diff(offs)), "_n_removed": pa.array(removed, pa.int64()), "_n_spans": pa.array(runs, pa.int64())}
+            own[text_col] = pa.array([None if null else raw[i:j].decode() for null, i, j in zip(z.is_null().to_pylist(), offs[:-1].tolist(), offs[1:].tolist())], pa.string())
+            yield pa.RecordBatch.from_arrays([own[c] if c in own else col_of(b, c) for c in order], order)
 
     more = [StructField("_kept", BinaryType()), *(StructField(c, LongType()) for c in ("_n_bytes", "_n_removed", "_n_spans"))]
-    return rows.mapInArrow(run, StructType([*docs.schema.fields, *more]))
+    order = [*docs.columns, *(f.name for f in more)]
+    return rows.select(*names, "_z", "_spans").mapInArrow(run, StructType([*docs.schema.fields, *more]))
