@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import batch_of, col_of, sliced, small_batches, string_buffers, written
 
 #: Texts of about so many bytes make a block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 #: Bits of the slot number in each context's table: language and last byte, two to four bytes, word so far, language and word so far, language and three bytes.
 BITS = (20, 20, 21, 22, 22, 22, 22)
 SLOTS = sum(1 << b for b in BITS)
@@ -47,6 +47,8 @@ SEGMENT = 1 << 16
 OFTEN = 2
 END = "\n"
 GATES, BUCKETS = 30, 24
+#: So many different words, about, train the mixer's weights (a classifier of GATES times 7 numbers); all words make the tables.
+MOST_TRAINED = 1_000_000
 #: Function words that tell languages apart (fixed values).
 FUNCTION_WORDS = (
     "the of and to is that it for was with as by this at are be from",
@@ -100,10 +102,12 @@ class Block:
 
 
 _COUNTS = [f"n{k}" for k in range(LANGUAGES)]
-_BLOCK_DDL = "block long, doc_id array<long>, held array<boolean>, lens binary, codes binary, lang binary, words array<string>, counts array<array<int>>, mask array<int>"
-_BLOCK = pa.schema(
-    [("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lens", pa.binary()), ("codes", pa.binary()), ("lang", pa.binary()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.list_(pa.int32()))), ("mask", pa.list_(pa.int32()))]
-)
+_BLOCK_DDL = "block long, doc_id array<long>, held binary, lens binary, codes binary, lang binary, words array<string>, counts binary, mask binary"
+_BLOCK = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held", pa.binary()), ("lens", pa.binary()), ("codes", pa.binary()), ("lang", pa.binary()), ("words", pa.list_(pa.string())), ("counts", pa.binary()), ("mask", pa.binary())])
+
+
+def _one_list(values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -117,22 +121,45 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
         def block() -> pa.RecordBatch:
             t = pa.Table.from_batches(waiting).combine_chunks()
-            held = np.array(t["held"].to_pylist(), bool)
-            x = Block(t["text"].combine_chunks() if t["text"].num_chunks != 1 else t["text"].chunk(0), held)
-            return batch_of(_BLOCK, [[number], [t["doc_id"].to_pylist()], [held.tolist()], [x.lens.astype("<i4").tobytes()], [x.codes.astype("<i4").tobytes()], [x.lang.tobytes()], [x.words], [x.train.astype(np.int32).tolist()], [x.mask.tolist()]])
+            waiting.clear()
+            held = t["held"].to_numpy()
+            x = Block(t["text"].chunk(0), held)
+            columns = [_one_list(t["doc_id"].chunk(0)), [held.astype(np.uint8).tobytes()], [x.lens.astype("<i4").tobytes()], [x.codes.astype("<i4").tobytes()], [x.lang.tobytes()], _one_list(pa.array(x.words, pa.string())), [x.train.astype("<i4").tobytes()], [x.mask.astype(np.uint8).tobytes()]]
+            return batch_of(_BLOCK, [[number], *columns])
 
         for b in sliced(batches, "text"):
             waiting.append(b)
             size += int(string_buffers(col_of(b, "text"))[1][-1])
             if size >= BLOCK_BYTES:
                 yield block()
-                waiting, size, number = [], 0, number + 1
+                size, number = 0, number + 1
         if waiting:
             yield block()
 
     return rows.mapInArrow(run, _BLOCK_DDL)
 
 
+_LOCAL = pa.schema([("block", pa.int64()), ("at", pa.int32()), ("word", pa.string()), *((c, pa.int32()) for c in _COUNTS), ("mask", pa.int32())])
+
+
+def _local_words(blocks: DataFrame) -> DataFrame:
+    """block, at, word, counts and mask: a row for each different word of each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                words = col_of(b, "words")[i].values
+                n = len(words)
+                counts = np.frombuffer(col_of(b, "counts")[i].as_py(), "<i4").reshape(n, LANGUAGES)
+                mask = np.frombuffer(col_of(b, "mask")[i].as_py(), np.uint8).astype(np.int32)
+                number = col_of(b, "block")[i].as_py()
+                for lo in range(0, n, 20_000):
+                    p = slice(lo, min(n, lo + 20_000))
+                    yield batch_of(_LOCAL, [np.full(p.stop - lo, number), np.arange(lo, p.stop, dtype=np.int32), words[p], *(np.ascontiguousarray(counts[p, k]) for k in range(LANGUAGES)), mask[p]])
+
+    return blocks.select("block", "words", "counts", "mask").mapInArrow(run, "block long, at int, word string, " + ", ".join(f"{c} int" for c in _COUNTS) + ", mask int")
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -172,19 +199,22 @@ class Spelled:
     def bits(self, part: slice, contexts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Slot of each context (7, bits) and the bits (8 for each byte of the part)."""
         s = self.data[part].astype(np.int64)
-        node = np.stack([(1 << j) | (s >> (8 - j)) for j in range(8)], 1).ravel().astype(np.uint64)
+        node = np.stack([(1 << j) | (s >> (8 - j)) for j in range(8)], 1).ravel().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         bit = np.stack([s >> (7 - j) & 1 for j in range(8)], 1).ravel()
         slots, base = np.empty((len(BITS), len(node)), np.int64), 0
         for k, b in enumerate(BITS):
-            c = np.repeat(contexts[k][part], 8)
-            h = _mixed(c * np.uint64(0x9E3779B97F4A7C15) + node) >> np.uint64(64 - b)
-            slots[k] = h.astype(np.int64) + base
+            h = np.repeat(_mixed(contexts[k][part]), 8)
+            h ^= node
+            h *= np.uint64(0xD6E8FEB86659FD93)
+            h >>= np.uint64(64 - b)
+            slots[k] = h.view(np.int64)
+            slots[k] += base
             base += 1 << b
         return slots, bit
 
 
 #: Bytes whose bits are worked on at once.
-PART = 1 << 14
+PART = 1 << 13
 
 
 def parts(n: int) -> Iterator[slice]:
@@ -207,7 +237,8 @@ def _count_bits(words: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        n = np.zeros((2, SLOTS), np.float32)
+        n = np.zeros((SLOTS, 2), np.float32)
+        flat = n.ravel()
         for words, counts, _ in _some_words(batches):
             w, t = np.nonzero(counts)
             if not len(w):
@@ -220,13 +251,16 @@ def _count_bits(words: DataFrame) -> DataFrame:
                 slots, bit = x.bits(part, ctx)
                 each = np.repeat(weight[x.word[part]], 8)
                 also = np.repeat(often[x.word[part]], 8)
+                slots *= 2
+                slots += bit
                 for k in range(len(BITS)):
-                    s, v, e = (slots[k], bit, each) if k not in (4, 5) else (slots[k][also], bit[also], each[also])
-                    np.add.at(n[0], s[v == 0], e[v == 0])
-                    np.add.at(n[1], s[v == 1], e[v == 1])
+                    if k in (4, 5):
+                        np.add.at(flat, slots[k][also], each[also])
+                    else:
+                        np.add.at(flat, slots[k], each)
         pack = zstandard.ZstdCompressor(3).compress
         for seg in range(SLOTS // SEGMENT):
-            mine = n[:, seg * SEGMENT : (seg + 1) * SEGMENT]
+            mine = n[seg * SEGMENT : (seg + 1) * SEGMENT].T
             if mine.any():
                 used = np.flatnonzero(mine.any(0)).astype(np.uint16)
                 yield batch_of(_SEG, [[seg], [pack(len(used).to_bytes(4, "little") + used.tobytes() + np.ascontiguousarray(mine[:, used]).tobytes())]])
@@ -275,6 +309,22 @@ class Tables:
             self.q[at] = np.frombuffer(raw, np.uint8, SEGMENT, 2 * SEGMENT)
         k = np.arange(256)
         self.times = np.where(k < 128, k, 128 * 2.0 ** ((k - 128) / 6)).astype(np.float32)
+        self.x: np.ndarray | None = None
+
+    def plain(self, slots: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As inputs, with all counts as they are: the log-odds are a table too."""
+        if self.x is None:
+            self.x = np.empty(SLOTS, np.float16)
+            for lo in range(0, SLOTS, 1 << 20):
+                at = slice(lo, lo + (1 << 20))
+                n = self.times[self.q[at]]
+                ones = self.p[at].astype(np.float32) * (n / np.float32(65535))
+                self.x[at] = np.log((ones + np.float32(0.4)) / (np.maximum(n - ones, 0) + np.float32(0.4)))
+        return self.x[slots].astype(np.float32), self._gate(self.times[self.q[slots[5]]], self.times[self.q[slots[3]]], first)
+
+    @staticmethod
+    def _gate(longest: np.ndarray, four: np.ndarray, first: np.ndarray) -> np.ndarray:
+        return np.searchsorted(np.array([1, 4, 16, 256], np.float32), longest, "right") * 6 + np.searchsorted(np.array([1, 16], np.float32), four, "right") * 2 + first
 
     def inputs(self, slots: np.ndarray, first: np.ndarray, bit: np.ndarray | None = None, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Log-odds of each context (7, bits) and the gate of each bit. bit: leaves one such event out of the counts, where own says that it is in."""
@@ -288,16 +338,25 @@ class Tables:
             n = np.where(take, np.maximum(n - 1, 0), n)
             ones = np.clip(np.where(take, ones - bit, ones), 0, n)
         x = np.log((ones + np.float32(0.4)) / (np.maximum(n - ones, 0) + np.float32(0.4)))
-        gate = np.searchsorted([1, 4, 16, 256], n[5], "right") * 6 + np.searchsorted([1, 16], n[3], "right") * 2 + first
-        return x, gate
+        return x, self._gate(n[5], n[3], first)
 
 
 def bucket(z: np.ndarray) -> np.ndarray:
     return np.clip((z + 8) * (BUCKETS / 16), 0, BUCKETS - 1).astype(np.int64)
 
 
+def _weighed(w: np.ndarray, gate: np.ndarray, inputs: np.ndarray) -> np.ndarray:
+    z = np.zeros(len(gate), np.float32)
+    for k in range(len(BITS)):
+        z += w[:, k].astype(np.float32)[gate] * inputs[k]
+    return z
+
+
 def _train_mixer(words: DataFrame, tables) -> DataFrame:
-    """Sums (i, v) over tasks: weights by their task's share, the shares, and the counts of the refining table."""
+    """Sums (i, v) over tasks: weights by their task's share, the shares, and the counts of the refining table.
+
+    Of a larger vocabulary, about MOST_TRAINED words, chosen by their hash, are enough for these few numbers.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Tables(tables.value)
@@ -315,7 +374,7 @@ def _train_mixer(words: DataFrame, tables) -> DataFrame:
                 slots, bit = x.bits(part, ctx)
                 word = np.repeat(x.word[part], 8)
                 inputs, gate = t.inputs(slots, np.repeat(x.place[part] == 0, 8), bit, often[word])
-                z = (w[gate].T * inputs).sum(0)
+                z = _weighed(w, gate, inputs)
                 p = 1 / (1 + np.exp(-np.clip(z, -20, 20)))
                 e = weight[word]
                 mass = np.bincount(gate, e, GATES)
@@ -351,8 +410,8 @@ class Mixer:
         out, ctx = np.zeros(len(x.lens)), x.contexts()
         for part in parts(len(x.data)):
             slots, bit = x.bits(part, ctx)
-            inputs, gate = tables.inputs(slots, np.repeat(x.place[part] == 0, 8))
-            z = (self.w[gate].T * inputs).sum(0)
+            inputs, gate = tables.plain(slots, np.repeat(x.place[part] == 0, 8))
+            z = _weighed(self.w, gate, inputs)
             p = (1 / (1 + np.exp(-np.clip(z, -20, 20))) + self.refine[gate, bucket(z)]) / 2
             p = np.clip(np.where(bit == 1, p, 1 - p), 2.0**-16, 1 - 2.0**-16)
             out += np.bincount(np.repeat(x.word[part], 8), np.log10(p), len(out))
@@ -387,15 +446,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held"), F.coalesce(text_col, F.lit("")).alias("text"))
     blocks = written(_blocks(rows), "mixture-blocks")
-    zipped = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts", "mask")).alias("at", "x"))
-    local = zipped.select("block", "at", F.col("x.words").alias("word"), F.col("x.counts").alias("counts"), F.col("x.mask").alias("mask"))
-    sums = [F.sum(F.element_at("counts", k + 1)).alias(c) for k, c in enumerate(_COUNTS)]
+    local = _local_words(blocks)
+    sums = [F.sum(c).alias(c) for c in _COUNTS]
     words = written(local.groupBy("word").agg(*sums, F.bit_or("mask").alias("mask")), "mixture-words")
     count = sum(F.col(c) for c in _COUNTS)
-    total = words.agg(F.sum(count).alias("n"), F.count(F.when(count > 0, 1)).alias("v")).first()
+    total = words.agg(F.sum(count).alias("n"), F.count(F.when(count > 0, 1)).alias("v"), F.count(F.lit(1)).alias("k")).first()
     n, v = total["n"] or 0, total["v"] or 0
+    chosen = words.where(F.pmod(F.xxhash64(F.lit("mixer"), "word"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, MOST_TRAINED / max(1, total["k"]))))
     tables = spark.sparkContext.broadcast([(r["seg"], bytes(r["data"])) for r in _count_bits(words).collect()])
-    mixer = Mixer({r["i"]: r["v"] for r in _train_mixer(words, tables).collect()})
+    mixer = Mixer({r["i"]: r["v"] for r in _train_mixer(chosen, tables).collect()})
     costs = _costs(words, tables, mixer)
     priced = local.select("block", "at", "word").join(costs, "word").select(F.col("block").alias("of_block"), "at", "c", "cost")
     out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -410,6 +469,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         begin = np.cumsum(lens) - lens
         base = np.add.reduceat(np.log10(c + 1)[codes], begin) - lens * np.log10(float(n + v + 1))
         known = np.add.reduceat((c > 0)[codes].astype(np.int64), begin)
-        return pa.table([block["doc_id"][0].values, block["held"][0].values, lens.astype(np.int64), known, np.full(len(lens), n), base, np.add.reduceat(cost[codes, lang], begin)], schema=out)
+        return pa.table([block["doc_id"][0].values, pa.array(np.frombuffer(block["held"][0].as_py(), np.uint8) > 0), lens.astype(np.int64), known, np.full(len(lens), n), base, np.add.reduceat(cost[codes, lang], begin)], schema=out)
 
     return blocks.select("block", "doc_id", "held", "lens", "codes", "lang").groupBy("block").cogroup(priced.groupBy("of_block")).applyInArrow(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
