@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from .common import SLICE_BYTES, batch_of, col_of, sliced, small_batches, string_buffers, written
 
@@ -366,8 +366,8 @@ def with_key(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     return docs.withColumns({"_key": F.xxhash64(F.col(id_col), text), "_text": text})
 
 
-def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """docs with _kept (the bytes that stay), _n_bytes, _n_removed and _n_spans (maximal removed runs)."""
+def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH, hot: int = HOT, as_text: bool = False) -> DataFrame:
+    """docs with _kept (the bytes that stay; as_text: as a string, without characters that lost a byte), _n_bytes, _n_removed and _n_spans (maximal removed runs)."""
     spans = repeated_spans(docs, text_col, id_col, length, hot)
     spans = spans.groupBy("_key").agg(F.collect_set(F.struct("_from", "_to")).alias("_spans"))
     keyed = _compressed(with_key(docs, text_col, id_col).drop("_text"), text_col)
@@ -394,10 +394,10 @@ def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lengt
                 kept.append(mine[~gone].tobytes())
                 removed.append(int(gone.sum()))
                 runs.append(int(gone[:1].sum() + np.count_nonzero(gone[1:] & ~gone[:-1])))
-            own = {"_kept": pa.array(kept, pa.binary()), "_n_bytes": pa.array(np.diff(offs)), "_n_removed": pa.array(removed, pa.int64()), "_n_spans": pa.array(runs, pa.int64())}
+            own = {"_kept": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), "_n_bytes": pa.array(np.diff(offs)), "_n_removed": pa.array(removed, pa.int64()), "_n_spans": pa.array(runs, pa.int64())}
             own[text_col] = pa.array([None if null else raw[i:j].decode() for null, i, j in zip(z.is_null().to_pylist(), offs[:-1].tolist(), offs[1:].tolist())], pa.string())
             yield pa.RecordBatch.from_arrays([own[c] if c in own else col_of(b, c) for c in order], order)
 
-    more = [StructField("_kept", BinaryType()), *(StructField(c, LongType()) for c in ("_n_bytes", "_n_removed", "_n_spans"))]
+    more = [StructField("_kept", StringType() if as_text else BinaryType()), *(StructField(c, LongType()) for c in ("_n_bytes", "_n_removed", "_n_spans"))]
     order = [*docs.columns, *(f.name for f in more)]
     return rows.select(*names, "_z", "_spans").mapInArrow(run, StructType([*docs.schema.fields, *more]))
