@@ -223,5 +223,5 @@ def test_bit_predictors_sum_to_one():
 
 def test_running_language():
     words = ["the", "xx", "der", "yy", "und", "zz"]
-    own = mixture.languages(words)
+    own = mixture.languages(pa.array(words))
     assert mixture.running_language(own, np.array([3, 3])).tolist() == [0, 1, 1, 0, 0, 2]

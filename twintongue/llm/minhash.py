@@ -1,7 +1,7 @@
 """Near-duplicates by ProbMinHash over weighted word shingles.
 
 A text's shingles are its runs of five words (fewer words are one shingle),
-weighted by how often they occur. Each shingle sends a Poisson process of
+weighted by 1 + ln(how often they occur). Each shingle sends a Poisson process of
 arrivals at the rate of its weight to random registers of the text's signature,
 and every register keeps its first arrival; a process ends as soon as its next
 arrival comes after all registers' (early termination). Equal registers of two
@@ -9,13 +9,16 @@ texts then estimate their probability Jaccard, which equals Jaccard where no
 shingle repeats.
 
 Equal texts are one class from the start. Classes with an equal band of registers
-are candidates; a pair is a link if its exact probability Jaccard, computed from
-the texts, is at least `similarity` (the estimate only spares pairs that are 7
-standard deviations below). Instead of all pairs of a bucket, each member is
-compared with the bucket's first; the linked become components; then, in buckets
-that still hold several components, only pairs of different components remain,
-and all of those are compared. Components are found by hooking and pointer
-jumping on DataFrames, written to the shared folder in every round.
+are candidates; a pair is a link if the Jaccard similarity of its shingle sets,
+computed from the texts, is at least `similarity` (the estimate only spares pairs
+that are 7 standard deviations below). Instead of all pairs of a bucket, each
+member is compared with the bucket's most central one, and the linked become
+components. In buckets that still hold several components, similar pairs may be
+left: these share one of the rarest size - ceil(similarity * size) + 1 shingles of
+either text, so the members meet again by those, and all pairs of different
+components that do are compared. (Texts that have a common passage alone meet in
+buckets, but not by their rare shingles.) Components are found by hooking and
+pointer jumping on DataFrames, written to the shared folder in every round.
 
 A class is named by a 64-bit hash of its text (two different texts share one with
 probability 3e-20). Defined results: texts without words, null included, are one
@@ -31,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch_of, col_of, sliced, small_batches, written
@@ -86,6 +89,11 @@ def shingles(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarr
     return text[at], h[at], np.diff(np.append(at, len(h)))
 
 
+def damped(counts: np.ndarray) -> np.ndarray:
+    """A shingle's weight: 1 + ln(how often it occurs), so that no repeated line outweighs a text."""
+    return 1 + np.log(counts)
+
+
 def prob_min_hash(n: int, text: np.ndarray, h: np.ndarray, weight: np.ndarray, registers: int) -> np.ndarray:
     """n by registers: the shingle (16 bits of its hash) that came first in each register; 0 in texts without shingles."""
     time = np.full(n * registers, np.inf)
@@ -120,6 +128,11 @@ def probability_jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.n
     return float(sum(c / (many * np.maximum(kinds[0] / x, kinds[1] / y)).sum() for (x, y), c in zip(pairs.T, count)))
 
 
+def jaccard(ha: np.ndarray, hb: np.ndarray) -> float:
+    both = len(np.intersect1d(ha, hb, assume_unique=True))
+    return both / max(1, len(ha) + len(hb) - both)
+
+
 _SIG = pa.schema([("_id", pa.int64()), ("_node", pa.int64()), ("_sig", pa.binary())])
 
 
@@ -134,7 +147,8 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "_text", 2 << 20):
-            sig = prob_min_hash(b.num_rows, *shingles(col_of(b, "_text"), size), registers)
+            text, h, count = shingles(col_of(b, "_text"), size)
+            sig = prob_min_hash(b.num_rows, text, h, damped(count), registers)
             yield batch_of(_SIG, [col_of(b, "_id"), col_of(b, "_node"), [x.tobytes() for x in sig]])
 
     return rows.mapInArrow(run, "_id long, _node long, _sig binary")
@@ -182,6 +196,30 @@ def _only(rows: DataFrame, ids: DataFrame, name: str, how: str = "left_semi") ->
     return rows.join(F.broadcast(ids) if few else ids, name, how)
 
 
+_RARE = pa.schema([("_node", pa.int64()), ("_size", pa.int64()), ("_h", pa.int64())])
+
+
+def _rarest(docs: DataFrame, nodes: DataFrame, text_col: str, size: int, similarity: float) -> DataFrame:
+    """_node, _size and, a row for each, the rarest shingles _h of the nodes' texts of which a similar text must have one, with their place _at in order of frequency."""
+    texts = docs.select(node(text_col).alias("_node"), F.coalesce(text_col, F.lit("")).alias("_text"))
+    texts = _only(texts, nodes.select("_node"), "_node").groupBy("_node").agg(F.first("_text").alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, "_text"):
+            text, h, _ = shingles(col_of(b, "_text"), size)
+            yield batch_of(_RARE, [col_of(b, "_node").to_numpy()[text], np.bincount(text, minlength=b.num_rows)[text], h.view(np.int64)])
+
+    each = written(texts.mapInArrow(run, "_node long, _size long, _h long"), "minhash-shingles")
+    often = each.groupBy("_h").agg(F.count(F.lit(1)).alias("_often")).where("_often > 1")
+    # A shingle that one text alone has is rarer than all others and meets nothing: the rest of the prefix is what counts.
+    common = each.join(written(often, "minhash-common"), "_h")
+    rank = F.row_number().over(Window.partitionBy("_node").orderBy("_often", "_h"))
+    shared = Window.partitionBy("_node")
+    least = F.col("_size") - F.ceil(F.col("_size") * similarity - 1e-9) + 1
+    own = F.col("_size") - F.count(F.lit(1)).over(shared)
+    return common.withColumn("_at", rank + own).where(F.col("_at") <= least).select("_node", "_size", "_h", "_at")
+
+
 def links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: str, size: int, similarity: float) -> DataFrame:
     """The pairs that are similar, by their texts."""
     near = written(_estimated(pairs, classes, min(LEAST_ESTIMATE, similarity - 0.2)), "minhash-near")
@@ -196,10 +234,10 @@ def links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: str,
         for b in sliced(batches, "ta"):
             got = []
             for c in ("ta", "tb"):
-                text, h, w = shingles(col_of(b, c), size)
+                text, h, _ = shingles(col_of(b, c), size)
                 cut = np.searchsorted(text, np.arange(b.num_rows + 1))
-                got.append([(h[i:j], w[i:j]) for i, j in zip(cut[:-1], cut[1:])])
-            near = pa.array([probability_jaccard(*x, *y) >= similarity for x, y in zip(*got)])
+                got.append([h[i:j] for i, j in zip(cut[:-1], cut[1:])])
+            near = pa.array([jaccard(x, y) >= similarity for x, y in zip(*got)])
             yield batch_of(_PAIR, [col_of(b, c).filter(near) for c in ("a", "b")])
 
     return near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
@@ -222,24 +260,36 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """_id, _node, class_id (the smallest id of the document's group), group_size."""
+    """_id, _node, class_id (the smallest id of the document's group), group_size, _root (which names the group)."""
     sigs = written(signatures(docs, id_col, text_col, size, bands * rows), "minhash-signatures")
     classes = written(sigs.groupBy("_node").agg(F.first("_sig").alias("_sig"), F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_copies")), "minhash-classes")
     # Texts without words have no shingles and are copies of equal texts only.
     members = _bands(classes.where(F.col("_sig") != F.lit(bytes(bands * rows * 2))), bands, rows)
-    shared = members.groupBy("_band").agg(F.count(F.lit(1)).alias("_n"), F.min("_node").alias("_pivot")).where("_n > 1")
-    buckets = written(members.join(shared, "_band").select("_band", "_node", "_pivot"), "minhash-buckets")
+    shared = members.groupBy("_band").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    met = written(members.join(shared, "_band").select("_band", "_node", "_n"), "minhash-met")
+    # A bucket is compared with its most central member: that which meets most others over all bands, as an original does of its edited copies.
+    central = met.groupBy("_node").agg(F.sum("_n").alias("_meets"))
+    pivots = met.join(central, "_node").groupBy("_band").agg(F.max(F.struct("_meets", "_node"))["_node"].alias("_pivot"))
+    buckets = written(met.join(written(pivots, "minhash-pivots"), "_band").select("_band", "_node", "_pivot"), "minhash-buckets")
     spoken = buckets.select("_node").distinct()
     signed = written(classes.join(spoken, "_node", "left_semi").select("_node", "_sig"), "minhash-signed")
     stars = written(buckets.where("_node <> _pivot").select(F.col("_pivot").alias("a"), F.col("_node").alias("b")).distinct(), "minhash-stars")
     found = written(links(stars, signed, docs, text_col, size, similarity), "minhash-links")
     roots = components(found)
     rest = buckets.join(roots, "_node", "left").select("_band", "_node", F.coalesce("_root", "_node").alias("_root"))
-    tally = rest.groupBy("_band", "_root").agg(F.count(F.lit(1)).alias("_n"))
-    mixed_ = tally.groupBy("_band").agg(F.count(F.lit(1)).alias("_k"), F.max(F.struct("_n", "_root"))["_root"].alias("_main")).where("_k > 1")
-    rest = written(rest.join(mixed_, "_band").select("_band", "_node", "_root", "_main"), "minhash-mixed")
-    outside = rest.where("_root <> _main").select("_band", F.col("_node").alias("x"), F.col("_root").alias("rx"))
-    cross = outside.join(rest.select("_band", F.col("_node").alias("y"), F.col("_root").alias("ry")), "_band").where("rx <> ry")
+    several = rest.groupBy("_band").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi")).where("_lo <> _hi").select("_band")
+    open_ = written(rest.join(several, "_band", "left_semi").select("_node", "_root").distinct(), "minhash-open")
+    rest = written(_rarest(docs, open_, text_col, size, similarity).join(open_, "_node"), "minhash-rarest")
+    # Of the components that share a shingle, the members of all but the largest meet all others.
+    tally = rest.groupBy("_h", "_root").agg(F.count(F.lit(1)).alias("_k"))
+    several = tally.groupBy("_h").agg(F.count(F.lit(1)).alias("_roots"), F.max(F.struct("_k", "_root"))["_root"].alias("_main")).where("_roots > 1")
+    rest = written(rest.join(several, "_h").select("_h", "_node", "_root", "_main", "_size", "_at"), "minhash-mixed")
+    outside = rest.where("_root <> _main").select("_h", F.col("_node").alias("x"), F.col("_root").alias("rx"), F.col("_size").alias("sx"), F.col("_at").alias("ax"))
+    inside = rest.select(F.col("_h").alias("_g"), F.col("_node").alias("y"), F.col("_root").alias("ry"), F.col("_size").alias("sy"), F.col("_at").alias("ay"))
+    # If this is the first shingle that both have, only those from here on can be common: enough of them must be left.
+    left = F.least(F.col("sx") - F.col("ax"), F.col("sy") - F.col("ay")) + 1
+    enough = left >= (F.col("sx") + F.col("sy")) * (similarity / (1 + similarity)) - 1e-9
+    cross = outside.join(inside, (F.col("_h") == F.col("_g")) & (F.col("rx") != F.col("ry")) & enough)
     cross = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     cross = written(cross, "minhash-cross")
     if not cross.isEmpty():
@@ -247,7 +297,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         roots = components(written(found.union(more), "minhash-all-links"))
     named = classes.join(roots, "_node", "left").select("_node", F.coalesce("_root", "_node").alias("_root"), "_first", "_copies")
     groups = named.groupBy("_root").agg(F.min("_first").alias("class_id"), F.sum("_copies").alias("group_size"))
-    named = named.join(groups, "_root").select("_node", "class_id", "group_size")
+    named = named.join(groups, "_root").select("_node", "class_id", "group_size", "_root")
     return sigs.select("_id", "_node").join(named, "_node")
 
 
@@ -258,8 +308,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     gone = grouped.where(~F.col("_id").eqNullSafe(F.col("class_id"))).select("_node", "_id").distinct()
     key = F.struct(F.col(id_col).cast("long").alias("_id"), node(text_col).alias("_node"))
     rows = _only(docs.withColumn("_key", key), gone.select(F.struct("_id", "_node").alias("_key")), "_key", "left_anti")
-    doubled = first.groupBy("class_id").count().where("count > 1")
-    if not doubled.isEmpty():  # repeated ids: one row of each stays
-        one = first.groupBy("class_id").agg(F.min("_node").alias("_stays"))
-        rows = rows.join(one, F.col("_key._id").eqNullSafe(F.col("class_id")) & (F.col("_key._node") == F.col("_stays"))).dropDuplicates(["_key"])
+    doubled = first.groupBy("_root").count().where("count > 1")
+    if not doubled.isEmpty():  # repeated ids: one row of each group stays
+        one = first.groupBy("_root").agg(F.min("_node").alias("_stays")).select("_stays")
+        rows = rows.join(one, F.col("_key._node") == F.col("_stays"), "left_semi").dropDuplicates(["_key"])
     return rows.select(*docs.columns)
