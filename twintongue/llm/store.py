@@ -272,7 +272,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     got = _assembled(whole.select(*columns[:-1], none), with_ids).unionByName(_assembled(parted.join(fetched, ["pack", "place"], "left").select(*columns), with_ids))
     packs = table.where("kind = 1").select("pack", F.col("place").alias("n_docs"), F.col("n_ids").alias("pack_ids"), F.col("hash").alias("root"))
     packs = packs.withColumn("pack_start", F.coalesce(F.sum("pack_ids").over(Window.orderBy("pack").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = got.join(packs, "pack").repartition("pack").sortWithinPartitions("pack", "place")
+    rows = packs.join(got, "pack", "left").repartition("pack").sortWithinPartitions("pack", "place")
     out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,8 +288,9 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
                 if pack != now:
                     close()
                     tree, now, expected, count = Merkle(), pack, (root, n), 0
-                tree.add(x)
-                count += 1
+                if x is not None:
+                    tree.add(x)
+                    count += 1
             start = pc.add(col_of(b, "before"), col_of(b, "pack_start")) if b.num_rows else col_of(b, "before")
             yield batch_of(out, [col_of(b, "doc_id"), start, col_of(b, "n_ids"), col_of(b, "crc"), col_of(b, "ids")])
         close()

@@ -325,11 +325,11 @@ def _windows(rows: DataFrame, length: int) -> DataFrame:
         import xxhash
 
         for b in batches:
-            for h, g, content in zip(*(col_of(b, c).to_pylist() for c in ("h", "g", "content"))):
+            for h, g, n, content in zip(*(col_of(b, c).to_pylist() for c in ("h", "g", "n", "content"))):
                 got = [content[i : i + length] for i in range(len(content) - length + 1)]
                 m = len(got)
                 k = np.fromiter(map(xxhash.xxh3_64_intdigest, got), np.uint64, m).view(np.int64)
-                yield batch_of(_P, [k, np.full(m, h), np.full(m, g), np.arange(m, dtype=np.int32), np.ones(m, np.int64), got])
+                yield batch_of(_P, [k, np.full(m, h), np.full(m, g), np.arange(m, dtype=np.int32), np.full(m, n), got])
 
     return rows.mapInArrow(run, _PIECES)
 
@@ -351,7 +351,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     else:
         contents = written(contents, "suffix-contents")
         single = written(_windows(contents.join(crowded, "h", "left_semi"), length), "suffix-windows")
-        once = single.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.first("content").alias("content"))
+        once = single.groupBy("k").agg(F.sum("n").alias("n"), F.first("content").alias("content"))
         once = once.select("k", F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("g"), F.lit(0).alias("off"), "n", "content")
         marked = _sorted_runs(once, length).select("k").distinct()
         own = single.join(marked, "k", "left_semi").select("k", "h", "g", F.col("off").alias("from_"), (F.col("off") + 1).alias("to_"))
