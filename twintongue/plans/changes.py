@@ -58,8 +58,8 @@ class Changes:
         new = cut(_plain(batch, relation, "n_"))
         self._not_null(relation, new)
         self._unique(table, relation, new, relation.df)
-        self._parents_exist(relation, new)
         self._set(table, relation.df.unionByName(new))
+        self._parents_exist(relation, new)  # rows of one statement may refer to each other
         self._fired(table, "INSERT", False, _prefixed(new, "n_"))
         return new.count()
 
@@ -71,7 +71,7 @@ class Changes:
             new = [F.expr(named[c.name]).cast(c.type) if c.name in named else F.col(f"`{c.name}`") for c in relation.columns]
             batch = relation.df.where(hit).select(*[x.alias(f"n_{c.name.lower()}") for x, c in zip(new, relation.columns)], *[F.col(f"`{c}`").alias(f"o_{c.lower()}") for c in relation.names])
         batch = cut(self._fired(table, "UPDATE", True, cut(batch)))
-        return self._replace(table, relation, batch, relation.df.where(~hit) if where else relation.df.limit(0), "UPDATE")
+        return self._replace(table, relation, batch)
 
     def delete(self, table: str, where: str | None) -> int:
         relation = self.catalog.get(table)
@@ -84,16 +84,16 @@ class Changes:
         self._fired(table, "DELETE", False, batch)
         return n
 
-    def _replace(self, table: str, relation: Relation, batch: DataFrame, _rest: DataFrame, event: str) -> int:
+    def _replace(self, table: str, relation: Relation, batch: DataFrame) -> int:
         """The batch's old rows become its new rows. Rows that a trigger took out of the batch stay as they are."""
         old, new = cut(_plain(batch, relation, "o_")), cut(_plain(batch, relation, "n_"))
         rest = cut(self._without(relation.df, old))
         self._not_null(relation, new)
         self._unique(table, relation, new, rest)
-        self._parents_exist(relation, new)
         self._set(table, rest.unionByName(new))
+        self._parents_exist(relation, new)
         self._orphans(table, relation, batch, "n_")
-        self._fired(table, event, False, batch)
+        self._fired(table, "UPDATE", False, batch)
         return new.count()
 
     @staticmethod
