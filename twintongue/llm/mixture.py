@@ -59,19 +59,21 @@ FUNCTION_WORDS = (
 LANGUAGES = len(FUNCTION_WORDS) + 1
 
 
-def languages(words: list[str]) -> np.ndarray:
+def languages(words: pa.Array) -> np.ndarray:
     """1 and up for function words, 0 for others."""
-    known = {w: k + 1 for k, line in enumerate(FUNCTION_WORDS) for w in line.split()}
-    return np.fromiter((known.get(w, 0) for w in words), np.uint8, len(words))
+    known = [(w, k + 1) for k, line in enumerate(FUNCTION_WORDS) for w in line.split()]
+    at = pc.index_in(words, value_set=pa.array([w for w, _ in known])).fill_null(len(known)).to_numpy(zero_copy_only=False)
+    return np.array([*(k for _, k in known), 0], np.uint8)[at]
 
 
 def running_language(own: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Of each token, the language of the last function word before it in its text (0: none)."""
-    at = np.arange(len(own))
-    first = np.repeat(np.cumsum(lens) - lens, lens)
-    seen = np.maximum.accumulate(np.where(own > 0, at, -1))
-    before = np.concatenate([[-1], seen[:-1]])
-    return np.where(before >= first, own[np.maximum(before, 0)], 0).astype(np.uint8)
+    seen = np.where(own > 0, np.arange(len(own), dtype=np.int32), np.int32(-1))
+    np.maximum.accumulate(seen, out=seen)
+    seen = np.concatenate([np.array([-1], np.int32), seen[:-1]])
+    first = np.repeat((np.cumsum(lens) - lens).astype(np.int32), lens)
+    seen[seen < first] = -1
+    return np.where(seen >= 0, own[seen], 0).astype(np.uint8)
 
 
 class Block:
@@ -83,22 +85,25 @@ class Block:
         lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string())))
         words, offs = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
         offs = offs - offs[0]
-        full = pc.not_equal(words, "").to_numpy(zero_copy_only=False) if len(words) else np.zeros(0, bool)
-        offs = np.concatenate([[0], np.cumsum(full)])[offs]
-        coded = words.filter(pa.array(full)).dictionary_encode()
-        self.words = [*coded.dictionary.to_numpy(zero_copy_only=False).tolist(), END]
-        own = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32) if len(coded) else np.zeros(0, np.int32)
-        n = len(offs) - 1
+        empty = pc.equal(words, "")
+        if pc.any(empty).as_py():
+            full = pc.invert(empty)
+            offs = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])[offs]
+            words = words.filter(full)
+        coded = words.dictionary_encode()
+        del words, lists, empty
+        self.words = pa.concat_arrays([coded.dictionary.cast(pa.string()), pa.array([END])])
+        own = coded.indices.to_numpy(zero_copy_only=False)
+        n, size = len(offs) - 1, len(self.words)
         self.lens = np.diff(offs) + 1
-        self.codes = np.full(len(own) + n, len(self.words) - 1, np.int32)
+        self.codes = np.full(len(own) + n, size - 1, np.int32)
         spot = np.ones(len(self.codes), bool)
         spot[np.cumsum(self.lens) - 1] = False
         self.codes[spot] = own
         self.lang = running_language(languages(self.words)[self.codes], self.lens)
-        at = self.codes.astype(np.int64) * LANGUAGES + self.lang
-        size = len(self.words) * LANGUAGES
-        self.train = np.bincount(at[~np.repeat(held, self.lens)], minlength=size).reshape(-1, LANGUAGES)
-        self.mask = ((np.bincount(at, minlength=size).reshape(-1, LANGUAGES) > 0) << np.arange(LANGUAGES)).sum(1)
+        at = self.codes * np.int32(LANGUAGES) + self.lang
+        self.mask = ((np.bincount(at, minlength=size * LANGUAGES).reshape(-1, LANGUAGES) > 0) << np.arange(LANGUAGES)).sum(1)
+        self.train = np.bincount(at[~np.repeat(held, self.lens)], minlength=size * LANGUAGES).reshape(-1, LANGUAGES)
 
 
 _COUNTS = [f"n{k}" for k in range(LANGUAGES)]
@@ -124,7 +129,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
             waiting.clear()
             held = t["held"].to_numpy()
             x = Block(t["text"].chunk(0), held)
-            columns = [_one_list(t["doc_id"].chunk(0)), [held.astype(np.uint8).tobytes()], [x.lens.astype("<i4").tobytes()], [x.codes.astype("<i4").tobytes()], [x.lang.tobytes()], _one_list(pa.array(x.words, pa.string())), [x.train.astype("<i4").tobytes()], [x.mask.astype(np.uint8).tobytes()]]
+            columns = [_one_list(t["doc_id"].chunk(0)), [held.astype(np.uint8).tobytes()], [x.lens.astype("<i4").tobytes()], [x.codes.astype("<i4").tobytes()], [x.lang.tobytes()], _one_list(x.words), [x.train.astype("<i4").tobytes()], [x.mask.astype(np.uint8).tobytes()]]
             return batch_of(_BLOCK, [[number], *columns])
 
         for b in sliced(batches, "text"):
@@ -456,7 +461,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     tables = spark.sparkContext.broadcast([(r["seg"], bytes(r["data"])) for r in _count_bits(words).collect()])
     mixer = Mixer({r["i"]: r["v"] for r in _train_mixer(chosen, tables).collect()})
     costs = _costs(words, tables, mixer)
-    priced = local.select("block", "at", "word").join(costs, "word").select(F.col("block").alias("of_block"), "at", "c", "cost")
+    # Words are joined by a 64-bit hash: two of a billion different words share one with probability 0.03.
+    keyed = local.select(F.col("block").alias("of_block"), "at", F.xxhash64("word").alias("key"))
+    priced = keyed.join(costs.select(F.xxhash64("word").alias("key"), "c", "cost"), "key").select("of_block", "at", "c", "cost")
     out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def add_up(block: pa.Table, prices: pa.Table) -> pa.Table:

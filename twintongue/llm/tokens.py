@@ -21,6 +21,10 @@ WORD_BPE = "word_bpe_49k.json"
 #: Stands between words that are encoded together.
 SEPARATOR = "\x1e"
 LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+LOWER = "[a-zß-öø-ÿ]+"
+#: How byte-level vocabularies write bytes (a fixed rule): printable ones as they are, the others, in order, from 256 on.
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
 def tokenizer_path(name: str = WORD_BPE) -> str:
@@ -32,7 +36,7 @@ def tokenizer_path(name: str = WORD_BPE) -> str:
 
 
 class WordEncoder:
-    """Encodes arrays of texts; keeps the ids of at most `most_words` distinct words."""
+    """Encodes arrays of texts; keeps the ids of at most `most_words` distinct words, and then of those met again."""
 
     def __init__(self, path: str, most_words: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -42,16 +46,24 @@ class WordEncoder:
         alone = self.tok.encode(SEPARATOR, add_special_tokens=False).ids
         # A separator that is not one id of its own is not usable; then no id equals it and words are encoded one by one.
         self.separator = alone[0] if len(alone) == 1 else None
-        # Lower-case ASCII letters pass the normalizer and the splitter as they are: the model alone gives their ids, if it does so for these.
-        probe = ["a", "the", "z", "tokenizer", "qxzvkj", "abcdefghijklmnopqrstuvwxyz", "don", "s", "t", "re", "ll"]
-        self.direct = all([t.id for t in self.tok.model.tokenize(w)] == self.tok.encode(w, add_special_tokens=False).ids for w in probe)
+        # Lower-case letters pass the normalizer and the splitter as they are: the model alone gives their ids, if it does so for these.
+        probe = ["a", "the", "z", "tokenizer", "qxzvkj", "abcdefghijklmnopqrstuvwxyz", "don", "s", "t", "re", "ll", "größe", "àáâãäåæçèéêëìíîï", "ðñòóôõöøùúûüýþÿß"]
+        self.direct = all([t.id for t in self.tok.model.tokenize(w.encode().decode("latin-1").translate(BYTE_LETTERS))] == self.tok.encode(w, add_special_tokens=False).ids for w in probe)
         self.forget()
 
-    def forget(self) -> None:
+    def forget(self, keep: np.ndarray | None = None) -> None:
+        """Forgets all words but those in keep (numbers)."""
+        old = getattr(self, "at", {})
         self.at: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.start, self.len = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.again = np.zeros(1 << 14, bool)
+        if keep is None:
+            self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+            self.start, self.len = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+            return
+        words = [w for w, k in zip(old, keep) if k]  # numbers are in the order of the dictionary
+        flat, lens = self.ids[ragged(self.start[: len(keep)][keep], self.len[: len(keep)][keep])], self.len[: len(keep)][keep].copy()
         self.used = 0
+        self._store(words, flat, lens)
 
     def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words, and how many each has."""
@@ -84,9 +96,11 @@ class WordEncoder:
         heads = pc.if_else(pc.and_(parted, pc.string_is_ascii(own)), pc.ascii_lower(heads), heads).to_numpy(zero_copy_only=False).tolist()
         tails = pc.if_else(parted, pc.replace_substring_regex(own, f"^{LETTERS}", ""), "").to_numpy(zero_copy_only=False).tolist()
         todo = [w for w in dict.fromkeys(heads + tails) if w not in self.at]
-        plain = [w for w in todo if w.isascii() and w.isalpha() and w.islower()] if self.direct else []
+        lower = pc.match_substring_regex(pa.array(todo, pa.string()), f"^{LOWER}$").to_numpy(zero_copy_only=False) if self.direct and todo else np.zeros(len(todo), bool)
+        plain = [w for w, k in zip(todo, lower) if k]
         if plain:
-            got = [[t.id for t in self.tok.model.tokenize(w)] for w in plain]
+            of = self.tok.model.tokenize
+            got = [[t.id for t in of(w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_LETTERS))] for w in plain]
             self._store(plain, np.fromiter((i for x in got for i in x), np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
             todo = [w for w in todo if w not in self.at]
         for lo in range(0, len(todo), 5000):
@@ -107,8 +121,13 @@ class WordEncoder:
         coded = words.dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.at) > self.most:
-            self.forget()
+            self.forget(self.again[: len(self.at)])
+            if len(self.at) > self.most // 2:
+                self.forget()
         place = list(map(self.at.get, distinct))
+        if len(self.again) < len(self.start):
+            self.again = np.concatenate([self.again, np.zeros(len(self.start) - len(self.again), bool)])
+        self.again[[k for k in place if k is not None]] = True
         if None in place:
             new = [w for w, k in zip(distinct, place) if k is None]
             self._learn(new)

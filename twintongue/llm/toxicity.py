@@ -1,23 +1,25 @@
-"""Toxicity by two class-conditional Kneser-Ney bigram models.
-
-Words are runs of letters and digits in lower case. Each class (toxic, ordinary)
-has absolutely discounted bigram counts; they back off to the class's
-continuation counts, and these to continuation counts that both classes share, so
-that a rare expression is no evidence by itself. A document's score compares the
-two log-likelihoods, normalised by length over the whole text and over the most
-suspicious passage of WINDOW words, and a logistic curve fitted on labelled
-documents outside the counts makes a probability of them.
-
-Learning takes a bounded sample of labelled rows (MOST_TOXIC and MOST_ORDINARY
-documents, about, drawn by a hash of doc_id; whole texts). The model is a few
-arrays of fixed size (28 MB), which are broadcast. Scoring is a map over all
+"""Toxicity by two class-conditional Kneser-Ney models.
+
+Words are runs of letters and digits in lower case. In both classes, toxic and
+ordinary, a word counts as often as different words stand before it (continuation
+counts, so that copies of a text count once). The absolutely discounted counts back
+off to those of the word's beginning (STEM letters) in the class, and these to
+counts that both classes share: a rare expression is no evidence by itself. A
+document's two log-likelihoods are compared, normalised by length, over the whole
+text and over its one and its three most telling different words; a logistic curve
+makes a probability of them. The curve is fitted on a part of the labelled
+documents with counts of the others; then all are counted.
+
+Learning takes a bounded sample of labelled rows (about MOST_TOXIC and
+MOST_ORDINARY documents, drawn by a hash of doc_id; whole texts). The model is a
+few arrays of fixed size (8 MB), which are broadcast. Scoring is a map over all
 documents without a shuffle.
 
-Defined results: null and empty texts have the score of a text without evidence
-(the intercept of the curve); contradicting labels of a doc_id count as the
-highest; null labels and labels of a null doc_id are not read; without labels of
-both classes all scores are 0; repeated rows have equal scores; other columns are
-kept as they are; an empty table gives an empty table.
+Defined results: null and empty texts have the score of a text without evidence;
+contradicting labels of a doc_id count as the highest; null labels and labels of a
+null doc_id are not read; without labels of both classes all scores are 0; repeated
+rows have equal scores; other columns are kept as they are; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -32,101 +34,85 @@ from pyspark.sql import functions as F
 
 from .common import col_of, sliced, small_batches
 
-MOST_TOXIC, MOST_ORDINARY = 5000, 10_000
-WORD_BITS, PAIR_BITS = 19, 22
-DISCOUNT = 0.75
-WINDOW = 8
+MOST_TOXIC, MOST_ORDINARY = 5000, 12_000
+BITS = 19
+DISCOUNT = 0.9
+STEM = 4
 THRESHOLD = 0.3
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = x * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
+class Words:
+    """The words of texts as slots of their own and of their beginnings; offs: where each text's words begin and end."""
 
+    def __init__(self, texts: pa.Array):
+        import xxhash
 
-def word_slots(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Each word's slot, and the offsets of each text's words."""
-    import xxhash
+        if texts.null_count:
+            texts = texts.fill_null("")
+        clean = pc.replace_substring_regex(pc.utf8_lower(texts.cast(pa.string())), r"[^\p{L}\p{N}]+", " ")
+        lists = pc.ascii_split_whitespace(clean)
+        words, offs = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+        full = pc.not_equal(words, "").to_numpy(zero_copy_only=False) if len(words) else np.zeros(0, bool)
+        self.offs = np.concatenate([[0], np.cumsum(full)])[offs - offs[0]]
+        coded = words.filter(pa.array(full)).dictionary_encode()
+        known = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        slot = lambda x: xxhash.xxh64_intdigest(x) >> (64 - BITS)
+        own, begin = np.fromiter(map(slot, known), np.int64, len(known)), np.fromiter((slot("^" + w[:STEM]) for w in known), np.int64, len(known))
+        self.word, self.stem = (x[at] if len(known) else np.zeros(0, np.int64) for x in (own, begin))
 
-    if texts.null_count:
-        texts = texts.fill_null("")
-    clean = pc.replace_substring_regex(pc.utf8_lower(texts.cast(pa.string())), r"[^\p{L}\p{N}]+", " ")
-    lists = pc.ascii_split_whitespace(clean)
-    words = lists.flatten()
-    offs = lists.offsets.to_numpy().astype(np.int64)
-    offs = offs - offs[0]
-    full = pc.not_equal(words, "").to_numpy(zero_copy_only=False) if len(words) else np.zeros(0, bool)
-    before = np.concatenate([[0], np.cumsum(full)])
-    words, offs = words.filter(pa.array(full)), before[offs]
-    coded = words.dictionary_encode()
-    slot = np.fromiter((xxhash.xxh64_intdigest(w) >> (64 - WORD_BITS) for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()), np.int64, len(coded.dictionary))
-    return (slot[coded.indices.to_numpy(zero_copy_only=False)] if len(slot) else np.zeros(0, np.int64)), offs
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """(word before << BITS | word) and (word before << BITS | beginning) of each word; before the first stands slot 0."""
+        before = np.concatenate([[0], self.word[:-1]]) if len(self.word) else self.word
+        before[self.offs[:-1][np.diff(self.offs) > 0]] = 0
+        return before << BITS | self.word, before << BITS | self.stem
 
 
-def pair_keys(words: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """(word before << WORD_BITS | word) of each word; before the first stands slot 0."""
-    before = np.concatenate([[0], words[:-1]]) if len(words) else words
-    first = offs[:-1][np.diff(offs) > 0]
-    before[first] = 0
-    return before << WORD_BITS | words
-
+class Model:
+    """Continuation counts by slot; index 0 is the ordinary class, 1 the toxic one."""
 
-def pair_slots(keys: np.ndarray) -> np.ndarray:
-    return (_mixed(keys.astype(np.uint64)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+    def __init__(self, words: list[np.ndarray], stems: list[np.ndarray]):
+        """Different keys (see Words) of each class."""
+        count = lambda keys: np.bincount(keys & (1 << BITS) - 1, minlength=1 << BITS).astype(np.float32)
+        self.word, self.stem = (np.stack([count(k) for k in x]) for x in (words, stems))
 
-
-class Model:
-    """Arrays by slot; index 0 is the ordinary class, 1 the toxic one."""
-
-    def __init__(self, keys: list[np.ndarray], counts: list[np.ndarray]):
-        n, low = 1 << WORD_BITS, (1 << WORD_BITS) - 1
-        self.pair = np.zeros((2, 1 << PAIR_BITS), np.uint16)
-        self.total, self.back = np.zeros((2, n), np.float32), np.ones((2, n), np.float32)
-        self.cont = np.zeros((2, n), np.float32)
-        for c in (0, 1):
-            h, w, x = keys[c] >> WORD_BITS, keys[c] & low, counts[c].astype(np.float64)
-            self.total[c] = np.bincount(h, x, n)
-            self.cont[c] = np.bincount(w, minlength=n)
-            often = x >= 2  # pairs seen once only back off
-            slots = pair_slots(keys[c][often])
-            self.pair[c] = np.minimum(np.bincount(slots, x[often], 1 << PAIR_BITS), 65535)
-            held = np.bincount(h[often], x[often] - DISCOUNT, n)
-            self.back[c] = 1 - held / np.maximum(self.total[c], 1)
+    @staticmethod
+    def _level(k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Discounted shares, what each class leaves for the next level, and the shared distribution."""
+        total, both = np.maximum(k.sum(1, keepdims=True), 1), k.sum(0)
+        left = np.where(k.sum(1, keepdims=True) > 0, DISCOUNT * (k > 0).sum(1, keepdims=True) / total, 1)
+        return np.maximum(k - DISCOUNT, 0) / total, left, (both + 0.5) / (both.sum() + 0.5 * len(both))
 
     def ready(self) -> None:
-        both = self.cont.sum(0)
-        shared = (both + 0.5) / (both.sum() + 0.5 * len(both))
-        k = self.cont
-        sums = np.maximum(k.sum(1, keepdims=True), 1)
-        left = DISCOUNT * (k > 0).sum(1, keepdims=True) / sums
-        left = np.where(k.sum(1, keepdims=True) > 0, left, 1)
-        self.single = (np.maximum(k - DISCOUNT, 0) / sums + left * shared).astype(np.float32)
-
-    def evidence(self, words: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        self.own, self.left, self.shared = self._level(self.word)
+        own, left, self.begun = self._level(self.stem)
+        self.behind = own + left * self.begun
+
+    def evidence(self, w: Words) -> np.ndarray:
         """Of each word, by how much the toxic class's log-probability is above the ordinary one's."""
-        keys = pair_keys(words, offs)
-        h, slots = keys >> WORD_BITS, pair_slots(keys)
-        p = []
-        for c in (0, 1):
-            t, x = self.total[c][h], self.pair[c][slots]
-            seen = np.where(t > 0, np.maximum(x - DISCOUNT, 0) / np.maximum(t, 1), 0)
-            p.append(np.minimum(seen, 1) + self.back[c][h] * self.single[c][words])
+        inside = self.shared[w.word] / self.begun[w.stem]
+        p = self.own[:, w.word] + self.left * self.behind[:, w.stem] * inside
         return np.log(p[1]) - np.log(p[0])
 
-    def features(self, words: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """Of each text: evidence a word, evidence a word of the most suspicious passage, log of its length."""
-        n, lens = len(offs) - 1, np.diff(offs)
-        out = np.zeros((n, 3))
-        if len(words):
-            e = self.evidence(words, offs)
+    def features(self, w: Words) -> np.ndarray:
+        """Of each text, the evidence a word over: the whole text, its most telling word, its three most telling different words."""
+        lens = np.diff(w.offs)
+        out, e = np.zeros((len(lens), 3)), self.evidence(w)
+        full = lens > 0
+        if full.any():
             sums = np.concatenate([[0], np.cumsum(e)])
-            out[:, 0] = (sums[offs[1:]] - sums[offs[:-1]]) / np.maximum(lens, 1)
-            doc = np.repeat(np.arange(n), lens)
-            to = np.minimum(np.arange(len(words)) + WINDOW, offs[1:][doc])
-            passage = (sums[to] - sums[:-1]) / WINDOW
-            full = lens > 0
-            out[full, 1] = np.maximum.reduceat(passage, offs[:-1][full])
-            out[:, 2] = np.log1p(lens)
+            out[:, 0] = (sums[w.offs[1:]] - sums[w.offs[:-1]]) / np.maximum(lens, 1)
+            text = np.repeat(np.arange(len(lens)), lens)
+            order = np.lexsort((w.word, -e, text))
+            new = np.ones(len(e), bool)
+            new[1:] = (w.word[order][1:] != w.word[order][:-1]) | (text[order][1:] != text[order][:-1])
+            order = order[new]
+            text = text[order]
+            place = np.arange(len(order)) - np.searchsorted(text, text)
+            for most, column in ((1, 1), (3, 2)):
+                top = order[place < most]
+                of = text[place < most]
+                out[:, column] = np.bincount(of, e[top], len(lens)) / np.maximum(np.bincount(of, minlength=len(lens)), 1)
         return out
 
 
@@ -148,40 +134,36 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     import zstandard
 
-    pending: list[list[np.ndarray]] = [[], []]
-    merged = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in (0, 1)]
-    later = []
+    keys = {(cal, c, k): [] for cal in (False, True) for c in (0, 1) for k in (0, 1)}
+    waiting, later = 0, []
 
-    def merge(c: int) -> None:
-        keys = np.concatenate([merged[c][0], *pending[c]])
-        counts = np.concatenate([merged[c][1], np.ones(len(keys) - len(merged[c][0]), np.int64)])
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        merged[c] = keys[first], (np.add.reduceat(counts, first) if len(first) else counts)
-        pending[c].clear()
+    def merge() -> None:
+        for at, parts in keys.items():
+            keys[at] = [np.unique(np.concatenate(parts))] if parts else []
 
     for b in sliced(batches, "text"):
-        words, offs = word_slots(col_of(b, "text"))
+        w = Words(col_of(b, "text"))
+        own = w.keys()
+        each = np.diff(w.offs)
         toxic, cal, weight = (np.array(col_of(b, c).to_pylist()) for c in ("toxic", "calibrates", "weight"))
-        for i in range(len(toxic)):
-            mine = words[offs[i] : offs[i + 1]].copy()
-            if cal[i]:
-                later.append((mine.astype(np.int32), toxic[i], weight[i]))
-            elif len(mine):
-                pending[toxic[i]].append(pair_keys(mine, np.array([0, len(mine)])))
-        for c in (0, 1):
-            if sum(map(len, pending[c])) > 4_000_000:
-                merge(c)
-    for c in (0, 1):
-        merge(c)
-    model = Model([m[0] for m in merged], [m[1] for m in merged])
-    model.ready()
+        for at in keys:
+            mine = np.repeat((toxic == at[1]) & (cal == at[0]), each)
+            keys[at].append(own[at[2]][mine])
+        waiting += len(w.word)
+        if waiting > 2_000_000:
+            merge()
+            waiting = 0
+        if cal.any():
+            later.append((col_of(b, "text").filter(pa.array(cal)), toxic[cal], weight[cal]))
+    merge()
+    of = lambda c, k, cals: np.unique(np.concatenate([*(x for cal in cals for x in keys[cal, c, k]), np.zeros(0, np.int64)]))
+    part = Model(*([of(c, k, (False,)) for c in (0, 1)] for k in (0, 1)))
+    part.ready()
     curve = None
-    if len({t for _, t, _ in later}) == 2:
-        x = np.concatenate([model.features(w.astype(np.int64), np.array([0, len(w)])) for w, _, _ in later])
-        curve = _fit(x, np.array([t for _, t, _ in later], float), np.array([w for _, _, w in later]))
-    del model.single
+    if len({int(t) for _, ts, _ in later for t in ts}) == 2:
+        x = np.concatenate([part.features(Words(t)) for t, _, _ in later])
+        curve = _fit(x, np.concatenate([t for _, t, _ in later]).astype(float), np.concatenate([w for _, _, w in later]))
+    model = Model(*([of(c, k, (False, True)) for c in (0, 1)] for k in (0, 1)))
     data = zstandard.ZstdCompressor(3).compress(pickle.dumps((model.__dict__, curve), protocol=4))
     yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["model"])
 
@@ -198,8 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(n) < 2:
         return None
-    rate = {c: min(1.0, most / n[c]) for c, most in ((0, most_ordinary), (1, most_toxic))}
-    of = F.when(F.col("toxic") == 1, F.lit(rate[1])).otherwise(F.lit(rate[0]))
+    of = F.when(F.col("toxic") == 1, F.lit(min(1.0, most_toxic / n[1]))).otherwise(F.lit(min(1.0, most_ordinary / n[0])))
     chance = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     chosen = known.where(chance < of).select(F.col("doc_id").alias("_id"), "toxic", (F.col("rem") == 3).alias("calibrates"), (1 / of).alias("weight"))
     sample = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")
@@ -225,9 +206,9 @@ def score(docs: DataFrame, packed: bytes | None, text_col: str = "text") -> Data
         model.__dict__, curve = pickle.loads(zstandard.ZstdDecompressor().decompress(sent.value))
         model.ready()
         for b in sliced(batches, text_col):
-            x = model.features(*word_slots(col_of(b, text_col)))
-            if curve is None:  # too few labels for a curve: evidence of the whole text alone
-                p = 1 / (1 + np.exp(-np.clip(4 * x[:, 0] - 1, -30, 30)))
+            x = model.features(Words(col_of(b, text_col)))
+            if curve is None:  # too few labels for a curve: the most telling words alone
+                p = 1 / (1 + np.exp(-np.clip(x[:, 2] - 3, -30, 30)))
             else:
                 mean, scale, beta = curve
                 p = 1 / (1 + np.exp(-np.clip(np.column_stack([(x - mean) / scale, np.ones(len(x))]) @ beta, -30, 30)))
