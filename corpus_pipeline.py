@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twintongue.llm import minhash, mixing, packing, suffix, toxicity
-from twintongue.llm.common import table, written
+from twintongue.llm.common import few, table, written
 
 ORACLE_SQL = None
 
@@ -22,19 +22,19 @@ ORACLE_SQL = None
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model does not predict to be toxic."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    return few(toxicity.score(docs, model).where("predicted = 0").select(*docs.columns))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near-duplicates."""
-    return minhash.keep_one(docs)
+    return few(minhash.keep_one(docs))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without bytes covered by a repeated string of 200 bytes; characters that lose a byte go whole."""
     cut = suffix.dedup(docs, as_text=True)
     changed = {"text": F.when(F.col("text").isNotNull(), F.col("_kept")), "n_chars": F.when(F.col("text").isNotNull(), F.char_length("_kept").cast(docs.schema["n_chars"].dataType))}
-    return cut.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+    return few(cut.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns]))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,5 +60,5 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}", 2)
     return STAGES[-1][1](spark, docs, sf_dir)

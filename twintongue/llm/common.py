@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Texts of at most about so many bytes are worked on at once in a Python worker.
 SLICE_BYTES = 4 << 20
@@ -37,21 +36,28 @@ def shared_dir(spark: SparkSession) -> str:
     return own.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: lineage ends here.
+def few(df: DataFrame, each: int = 2) -> DataFrame:
+    """df in `each` partitions for each core of the cluster at most: many small files cost more than they help."""
+    return df.coalesce(each * df.sparkSession.sparkContext.defaultParallelism)
 
-    Two files for each core of the cluster at most: many small files cost more than they help.
-    """
+
+def written(df: DataFrame, label: str, each: int = 1) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: lineage ends here. each: see few; 2 where much is computed."""
     import uuid
 
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.coalesce(2 * spark.sparkContext.defaultParallelism).write.option("compression", "zstd").parquet(path)
+    few(df, each).write.option("compression", "zstd").parquet(path)
+    spark._jvm.System.gc()  # Spark deletes the shuffle files of a finished job when the driver has collected its plan
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_or_empty(name: str):
-    return F.coalesce(F.col(name), F.lit(""))
+def discard(df: DataFrame) -> None:
+    """Deletes a table made by written that nothing reads any more."""
+    files = df.inputFiles()
+    if files:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def string_buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -261,7 +261,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """_id, _node, class_id (the smallest id of the document's group), group_size, _root (which names the group)."""
-    sigs = written(signatures(docs, id_col, text_col, size, bands * rows), "minhash-signatures")
+    sigs = written(signatures(docs, id_col, text_col, size, bands * rows), "minhash-signatures", 2)
     classes = written(sigs.groupBy("_node").agg(F.first("_sig").alias("_sig"), F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_copies")), "minhash-classes")
     # Texts without words have no shingles and are copies of equal texts only.
     members = _bands(classes.where(F.col("_sig") != F.lit(bytes(bands * rows * 2))), bands, rows)

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import batch_of, col_of, sliced, small_batches, string_buffers, written
 
 #: Texts of about so many bytes make a block.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 14 << 20
 #: Bits of the slot number in each context's table: language and last byte, two to four bytes, word so far, language and word so far, language and three bytes.
 BITS = (20, 20, 21, 22, 22, 22, 22)
 SLOTS = sum(1 << b for b in BITS)
@@ -450,7 +450,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held"), F.coalesce(text_col, F.lit("")).alias("text"))
-    blocks = written(_blocks(rows), "mixture-blocks")
+    blocks = written(_blocks(rows), "mixture-blocks", 2)
     local = _local_words(blocks)
     sums = [F.sum(c).alias(c) for c in _COUNTS]
     words = written(local.groupBy("word").agg(*sums, F.bit_or("mask").alias("mask")), "mixture-words")

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import chat, media, minhash, mixing, mixture, packing, spotsigs, store, suffix, toxicity
-from .common import table
+from .common import few, table
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return cut.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
+    return few(cut).select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = store.write(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return store.read(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return few(store.read(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,11 +41,11 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return groups.select(F.col("_id").alias("doc_id"), "class_id", "group_size")
+    return few(groups).select(F.col("_id").alias("doc_id"), "class_id", "group_size")
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return few(mixture.score(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

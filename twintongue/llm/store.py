@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, col_of, shared_dir, sliced, small_batches, written
+from .common import batch_of, col_of, discard, few, shared_dir, sliced, small_batches, written
 from .tokens import WORD_BPE, shared_encoder, tokenizer_path, with_end
 
 SPAN, MEAN, MOST = 16, 512, 4096
@@ -108,7 +108,7 @@ def _encoded(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = shared_encoder(path)
-        for b in sliced(batches, "text"):
+        for b in sliced(batches, "text", 6 << 20):
             flat, offs = with_end(*enc.encode(col_of(b, "text")), end_id)
             ends = cuts(flat, offs)
             chunks = [pack_ids(flat[i:j]) for i, j in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist())]
@@ -153,7 +153,7 @@ def write(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
     spark = docs.sparkSession
     small_batches(spark)
     path = path or f"{shared_dir(spark)}/token-store-{uuid.uuid4().hex}"
-    coded = written(_encoded(docs, id_col, text_col, tokenizer, end_id), "token-ids")
+    coded = written(_encoded(docs, id_col, text_col, tokenizer, end_id), "token-ids", 2)
     found = written(_occurrences(coded), "token-chunks")
     owners = found.groupBy("name").agg(F.min(F.struct("doc_id", "_doc", "at")).alias("_own"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     double = found.join(owners, "name").withColumn("_mine", F.struct("doc_id", "_doc", "at") == F.col("_own"))
@@ -208,7 +208,10 @@ def write(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
             out.append((1, pack, place, None, before, 0, b"", b"", b"", b"", b"", tree.root()))
             yield batch()
 
-    rows.mapInArrow(run, _STORE_DDL).write.option("compression", "zstd").parquet(path)
+    few(rows.mapInArrow(run, _STORE_DDL)).write.option("compression", "zstd").parquet(path)
+    discard(coded)
+    discard(found)
+    spark._jvm.System.gc()
     return path
 
 

@@ -9,6 +9,7 @@ afterwards; test_tokens.py holds this against encoding whole texts.
 from __future__ import annotations
 
 import os
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ def tokenizer_path(name: str = WORD_BPE) -> str:
 class WordEncoder:
     """Encodes arrays of texts; keeps the ids of at most `most_words` distinct words, and then of those met again."""
 
-    def __init__(self, path: str, most_words: int = 500_000):
+    def __init__(self, path: str, most_words: int = 750_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -88,29 +89,33 @@ class WordEncoder:
         self.at.update(zip(words, range(m, m + len(words))))
         self.used += n
 
-    def _learn(self, words: list[str]) -> None:
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """Of each word its number, or -1."""
+        return np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+
+    def _learn(self, words: list[str], own: pa.Array) -> None:
         """Letters followed by marks are two pieces to the tokenizer in any case, and ASCII letters are lowered first."""
-        own = pa.array(words, pa.string())
         parted = pc.match_substring_regex(own, f"^{LETTERS}[.,;:!?]*$")
         heads = pc.if_else(parted, pc.ascii_rtrim(own, ".,;:!?"), own)
-        heads = pc.if_else(pc.and_(parted, pc.string_is_ascii(own)), pc.ascii_lower(heads), heads).to_numpy(zero_copy_only=False).tolist()
-        tails = pc.if_else(parted, pc.replace_substring_regex(own, f"^{LETTERS}", ""), "").to_numpy(zero_copy_only=False).tolist()
-        todo = [w for w in dict.fromkeys(heads + tails) if w not in self.at]
-        lower = pc.match_substring_regex(pa.array(todo, pa.string()), f"^{LOWER}$").to_numpy(zero_copy_only=False) if self.direct and todo else np.zeros(len(todo), bool)
-        plain = [w for w, k in zip(todo, lower) if k]
-        if plain:
+        heads = pc.if_else(pc.and_(parted, pc.string_is_ascii(own)), pc.ascii_lower(heads), heads)
+        tails = pc.if_else(parted, pc.replace_substring_regex(own, f"^{LETTERS}", ""), "")
+        pieces = pc.unique(pa.concat_arrays([heads, tails]))
+        pieces = pieces.filter(pa.array(self._numbers(pieces.to_numpy(zero_copy_only=False).tolist()) < 0))
+        if self.direct:
+            lower = pc.match_substring_regex(pieces, f"^{LOWER}$")
+            plain = pieces.filter(lower).to_numpy(zero_copy_only=False).tolist()
             of = self.tok.model.tokenize
             got = [[t.id for t in of(w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_LETTERS))] for w in plain]
-            self._store(plain, np.fromiter((i for x in got for i in x), np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
-            todo = [w for w in todo if w not in self.at]
+            self._store(plain, np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
+            pieces = pieces.filter(pc.invert(lower))
+        todo = pieces.to_numpy(zero_copy_only=False).tolist()
         for lo in range(0, len(todo), 5000):
             self._store(todo[lo : lo + 5000], *self._ids_of(todo[lo : lo + 5000]))
-        known = [w in self.at for w in words]
-        if not all(known):
-            own = [w for w, k in zip(words, known) if not k]
-            fresh = ~np.array(known)
-            parts = np.stack([np.array(list(map(self.at.get, x)), np.int64)[fresh] for x in (heads, tails)], 1)
-            self._store(own, self.ids[ragged(self.start[parts].ravel(), self.len[parts].ravel())], self.len[parts].sum(1))
+        fresh = self._numbers(words) < 0
+        if fresh.any():
+            mask = pa.array(fresh)
+            parts = np.stack([self._numbers(x.filter(mask).to_numpy(zero_copy_only=False).tolist()) for x in (heads, tails)], 1)
+            self._store(list(compress(words, fresh)), self.ids[ragged(self.start[parts].ravel(), self.len[parts].ravel())], self.len[parts].sum(1))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) and the offsets of each text's ids; null is empty."""
@@ -124,15 +129,15 @@ class WordEncoder:
             self.forget(self.again[: len(self.at)])
             if len(self.at) > self.most // 2:
                 self.forget()
-        place = list(map(self.at.get, distinct))
         if len(self.again) < len(self.start):
             self.again = np.concatenate([self.again, np.zeros(len(self.start) - len(self.again), bool)])
-        self.again[[k for k in place if k is not None]] = True
-        if None in place:
-            new = [w for w, k in zip(distinct, place) if k is None]
-            self._learn(new)
-            place = list(map(self.at.get, distinct))
-        place = np.array(place, np.int64)
+        place = self._numbers(distinct)
+        new = place < 0
+        self.again[place[~new]] = True
+        if new.any():
+            words = list(compress(distinct, new))
+            self._learn(words, coded.dictionary.filter(pa.array(new)))
+            place[new] = self._numbers(words)
         which = place[coded.indices.to_numpy(zero_copy_only=False)] if len(distinct) else np.zeros(0, np.int64)
         lens = self.len[which]
         flat = self.ids[ragged(self.start[which], lens)]
