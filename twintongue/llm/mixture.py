@@ -119,9 +119,10 @@ def _blocks(rows: DataFrame) -> DataFrame:
     """rows: doc_id, held, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        import uuid
 
-        number = TaskContext.get().partitionId() << 32
+        # Any different numbers will do, as blocks are written once; a task's number would not, as tasks can be joined.
+        number = uuid.uuid4().int >> 66
         waiting, size = [], 0
 
         def block() -> pa.RecordBatch:
@@ -137,7 +138,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
             size += int(string_buffers(col_of(b, "text"))[1][-1])
             if size >= BLOCK_BYTES:
                 yield block()
-                size, number = 0, number + 1
+                size, number = 0, uuid.uuid4().int >> 66
         if waiting:
             yield block()
 

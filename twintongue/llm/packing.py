@@ -175,9 +175,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), tail.alias("tail"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
         from pyspark import TaskContext
 
-        enc, packer = shared_encoder(path), Packer(limits, TaskContext.get().partitionId() << 40)
+        enc, packer = shared_encoder(path), Packer(limits, 0)
 
         def rows_out() -> pa.RecordBatch:
             got, packer.out = packer.out, []
@@ -186,6 +187,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             return batch_of(_SCHEMA, [list(c) for c in cols])
 
         for b in sliced(batches, "text"):
+            if not packer.next:
+                # Of 63 bits, 18 are the task, 25 the first documents (several partitions can be one task), 20 count.
+                start = xxhash.xxh64_intdigest(repr((col_of(b, "doc_id").to_pylist(), col_of(b, "text")[0].as_py())))
+                packer.next = (TaskContext.get().partitionId() % (1 << 18)) << 45 | (start >> 39) << 20
             ids, offs = with_end(*enc.encode(col_of(b, "text")), end_id)
             for doc, t, lo, hi in zip(col_of(b, "doc_id").to_pylist(), col_of(b, "tail").to_pylist(), offs[:-1], offs[1:]):
                 packer.add(doc, ids[lo:hi].copy(), int(hi - lo) if t is None else max(0, min(t, int(hi - lo))))

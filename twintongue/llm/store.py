@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, col_of, discard, few, shared_dir, sliced, small_batches, written
+from .common import batch_of, col_of, discard, shared_dir, sliced, small_batches, written
 from .tokens import WORD_BPE, shared_encoder, tokenizer_path, with_end
 
 SPAN, MEAN, MOST = 16, 512, 4096
@@ -161,7 +161,7 @@ def write(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
     notes = double.groupBy("doc_id", "_doc").agg(F.to_json(F.collect_set(F.when(F.col("_mine"), F.col("at")).otherwise(-1 - F.col("at")))).cast("binary").alias("names"))
     notes = notes.select("doc_id", "_doc", F.lit(-1).alias("_tag"), "names", F.lit(b"").alias("lens"), F.lit(b"").alias("data"))
     rows = coded.unionByName(notes)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = 2 * spark.sparkContext.defaultParallelism  # a pack each; they are numbered by their tasks, which must not be joined
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "_doc", "_tag")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +208,7 @@ def write(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
             out.append((1, pack, place, None, before, 0, b"", b"", b"", b"", b"", tree.root()))
             yield batch()
 
-    few(rows.mapInArrow(run, _STORE_DDL)).write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(run, _STORE_DDL).write.option("compression", "zstd").parquet(path)
     discard(coded)
     discard(found)
     spark._jvm.System.gc()
