@@ -52,6 +52,13 @@ def written(df: DataFrame, label: str, each: int = 1) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df, computed once and kept on the executors' disks; what is lost with an executor is computed again, so df must come out the same."""
+    from pyspark import StorageLevel
+
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table made by written that nothing reads any more."""
     files = df.inputFiles()

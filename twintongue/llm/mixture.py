@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, col_of, sliced, small_batches, string_buffers, written
+from .common import batch_of, col_of, kept, sliced, small_batches, string_buffers
 
 #: Texts of about so many bytes make a block.
 BLOCK_BYTES = 14 << 20
@@ -107,8 +107,8 @@ class Block:
 
 
 _COUNTS = [f"n{k}" for k in range(LANGUAGES)]
-_BLOCK_DDL = "block long, doc_id array<long>, held binary, lens binary, codes binary, lang binary, words array<string>, counts binary, mask binary"
-_BLOCK = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held", pa.binary()), ("lens", pa.binary()), ("codes", pa.binary()), ("lang", pa.binary()), ("words", pa.list_(pa.string())), ("counts", pa.binary()), ("mask", pa.binary())])
+_BLOCK_DDL = "block long, doc_id array<long>, held binary, lens binary, codes binary, lang binary, words binary, counts binary, mask binary"
+_BLOCK = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held", pa.binary()), ("lens", pa.binary()), ("codes", pa.binary()), ("lang", pa.binary()), ("words", pa.binary()), ("counts", pa.binary()), ("mask", pa.binary())])
 
 
 def _one_list(values: pa.Array) -> pa.Array:
@@ -119,18 +119,20 @@ def _blocks(rows: DataFrame) -> DataFrame:
     """rows: doc_id, held, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
+        import xxhash
+        import zstandard
 
-        # Any different numbers will do, as blocks are written once; a task's number would not, as tasks can be joined.
-        number = uuid.uuid4().int >> 66
+        pack = zstandard.ZstdCompressor(3).compress
         waiting, size = [], 0
 
         def block() -> pa.RecordBatch:
             t = pa.Table.from_batches(waiting).combine_chunks()
             waiting.clear()
             held = t["held"].to_numpy()
+            # A number that depends on the texts alone, so that a block that is lost comes back the same.
+            number = xxhash.xxh64_intdigest(repr((t["doc_id"].to_pylist(), t["text"][0].as_py()))) >> 1
             x = Block(t["text"].chunk(0), held)
-            columns = [_one_list(t["doc_id"].chunk(0)), [held.astype(np.uint8).tobytes()], [x.lens.astype("<i4").tobytes()], [x.codes.astype("<i4").tobytes()], [x.lang.tobytes()], _one_list(x.words), [x.train.astype("<i4").tobytes()], [x.mask.astype(np.uint8).tobytes()]]
+            columns = [_one_list(t["doc_id"].chunk(0)), *([pack(a)] for a in (held.astype(np.uint8).tobytes(), x.lens.astype("<i4").tobytes(), x.codes.astype("<i4").tobytes(), x.lang.tobytes(), " ".join(x.words.to_pylist()).encode(), x.train.astype("<i4").tobytes(), x.mask.astype(np.uint8).tobytes()))]
             return batch_of(_BLOCK, [[number], *columns])
 
         for b in sliced(batches, "text"):
@@ -138,7 +140,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
             size += int(string_buffers(col_of(b, "text"))[1][-1])
             if size >= BLOCK_BYTES:
                 yield block()
-                size, number = 0, uuid.uuid4().int >> 66
+                size = 0
         if waiting:
             yield block()
 
@@ -152,12 +154,15 @@ def _local_words(blocks: DataFrame) -> DataFrame:
     """block, at, word, counts and mask: a row for each different word of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             for i in range(b.num_rows):
-                words = col_of(b, "words")[i].values
+                words = pa.array(unpack(col_of(b, "words")[i].as_py()).decode().split(" "), pa.string())
                 n = len(words)
-                counts = np.frombuffer(col_of(b, "counts")[i].as_py(), "<i4").reshape(n, LANGUAGES)
-                mask = np.frombuffer(col_of(b, "mask")[i].as_py(), np.uint8).astype(np.int32)
+                counts = np.frombuffer(unpack(col_of(b, "counts")[i].as_py()), "<i4").reshape(n, LANGUAGES)
+                mask = np.frombuffer(unpack(col_of(b, "mask")[i].as_py()), np.uint8).astype(np.int32)
                 number = col_of(b, "block")[i].as_py()
                 for lo in range(0, n, 20_000):
                     p = slice(lo, min(n, lo + 20_000))
@@ -447,14 +452,14 @@ def held_out(id_col: str):
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability)."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held"), F.coalesce(text_col, F.lit("")).alias("text"))
-    blocks = written(_blocks(rows), "mixture-blocks", 2)
+    blocks = kept(_blocks(rows))
     local = _local_words(blocks)
     sums = [F.sum(c).alias(c) for c in _COUNTS]
-    words = written(local.groupBy("word").agg(*sums, F.bit_or("mask").alias("mask")), "mixture-words")
+    words = kept(local.groupBy("word").agg(*sums, F.bit_or("mask").alias("mask")))
     count = sum(F.col(c) for c in _COUNTS)
     total = words.agg(F.sum(count).alias("n"), F.count(F.when(count > 0, 1)).alias("v"), F.count(F.lit(1)).alias("k")).first()
     n, v = total["n"] or 0, total["v"] or 0
@@ -473,10 +478,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         at = prices["at"].to_numpy()
         c[at] = prices["c"].to_numpy()
         cost[at] = np.frombuffer(b"".join(prices["cost"].to_pylist()), "<f4").reshape(m, LANGUAGES)
-        lens, codes, lang = (np.frombuffer(block[k][0].as_py(), t) for k, t in (("lens", "<i4"), ("codes", "<i4"), ("lang", np.uint8)))
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        held, lens, codes, lang = (np.frombuffer(unpack(block[k][0].as_py()), t) for k, t in (("held", np.uint8), ("lens", "<i4"), ("codes", "<i4"), ("lang", np.uint8)))
         begin = np.cumsum(lens) - lens
         base = np.add.reduceat(np.log10(c + 1)[codes], begin) - lens * np.log10(float(n + v + 1))
         known = np.add.reduceat((c > 0)[codes].astype(np.int64), begin)
-        return pa.table([block["doc_id"][0].values, pa.array(np.frombuffer(block["held"][0].as_py(), np.uint8) > 0), lens.astype(np.int64), known, np.full(len(lens), n), base, np.add.reduceat(cost[codes, lang], begin)], schema=out)
+        return pa.table([block["doc_id"][0].values, pa.array(held > 0), lens.astype(np.int64), known, np.full(len(lens), n), base, np.add.reduceat(cost[codes, lang], begin)], schema=out)
 
     return blocks.select("block", "doc_id", "held", "lens", "codes", "lang").groupBy("block").cogroup(priced.groupBy("of_block")).applyInArrow(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
