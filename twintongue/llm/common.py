@@ -59,14 +59,6 @@ def kept(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.DISK_ONLY)
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes a table made by written that nothing reads any more."""
-    files = df.inputFiles()
-    if files:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def string_buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets (n + 1, int64, from 0) of a string or binary array; null is empty."""
     if isinstance(arr, pa.ChunkedArray):

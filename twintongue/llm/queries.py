@@ -31,7 +31,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = store.write(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return few(store.read(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return few(store.read(spark, path), 1).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

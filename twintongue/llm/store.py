@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, col_of, discard, shared_dir, sliced, small_batches, written
+from .common import batch_of, col_of, kept, shared_dir, sliced, small_batches
 from .tokens import WORD_BPE, shared_encoder, tokenizer_path, with_end
 
 SPAN, MEAN, MOST = 16, 512, 4096
@@ -102,12 +102,14 @@ _CODED_DDL = "doc_id long, _doc binary, _tag int, names binary, lens binary, dat
 
 
 def _encoded(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int) -> DataFrame:
-    """Of each document its chunks' names, lengths (bytes, 32 bits each) and bytes."""
+    """Of each document its chunks' names, lengths (bytes, 32 bits each) and, compressed, their bytes."""
     path = tokenizer_path(tokenizer)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = shared_encoder(path)
+        import zstandard
+
+        enc, press = shared_encoder(path), zstandard.ZstdCompressor(1).compress
         for b in sliced(batches, "text", 6 << 20):
             flat, offs = with_end(*enc.encode(col_of(b, "text")), end_id)
             ends = cuts(flat, offs)
@@ -119,7 +121,7 @@ def _encoded(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id
             cols: list[list] = [[] for _ in range(4)]
             for i, j in zip(upto[:-1].tolist(), upto[1:].tolist()):
                 mine = b"".join(names[i:j])
-                for c, x in zip(cols, (hashlib.sha256(mine).digest()[:16], mine, lens[i:j].tobytes(), b"".join(chunks[i:j]))):
+                for c, x in zip(cols, (hashlib.sha256(mine).digest()[:16], mine, lens[i:j].tobytes(), press(b"".join(chunks[i:j])))):
                     c.append(x)
             yield batch_of(_CODED, [col_of(b, "doc_id"), cols[0], np.zeros(b.num_rows, np.int32), *cols[1:]])
 
@@ -153,23 +155,24 @@ def write(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
     spark = docs.sparkSession
     small_batches(spark)
     path = path or f"{shared_dir(spark)}/token-store-{uuid.uuid4().hex}"
-    coded = written(_encoded(docs, id_col, text_col, tokenizer, end_id), "token-ids", 2)
-    found = written(_occurrences(coded), "token-chunks")
+    coded = kept(_encoded(docs, id_col, text_col, tokenizer, end_id))
+    found = kept(_occurrences(coded))
     owners = found.groupBy("name").agg(F.min(F.struct("doc_id", "_doc", "at")).alias("_own"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     double = found.join(owners, "name").withColumn("_mine", F.struct("doc_id", "_doc", "at") == F.col("_own"))
     # Of each document: the places of chunks that another place holds (as one less than the negative), and of those that others want.
     notes = double.groupBy("doc_id", "_doc").agg(F.to_json(F.collect_set(F.when(F.col("_mine"), F.col("at")).otherwise(-1 - F.col("at")))).cast("binary").alias("names"))
     notes = notes.select("doc_id", "_doc", F.lit(-1).alias("_tag"), "names", F.lit(b"").alias("lens"), F.lit(b"").alias("data"))
     rows = coded.unionByName(notes)
-    n = 2 * spark.sparkContext.defaultParallelism  # a pack each; they are numbered by their tasks, which must not be joined
+    n = spark.sparkContext.defaultParallelism  # a pack each; they are numbered by their tasks, which must not be joined
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "_doc", "_tag")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import json
 
+        import zstandard
         from pyspark import TaskContext
 
-        pack = TaskContext.get().partitionId()
+        pack, unpress = TaskContext.get().partitionId(), zstandard.ZstdDecompressor().decompress
         tree, place, before, last, notes = Merkle(), 0, 0, None, ()
         out: list[tuple] = []
         size = 0
@@ -182,7 +185,7 @@ def write(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
                 if tag < 0:
                     notes = (doc, key, json.loads(names))
                     continue
-                n = np.frombuffer(lens, "<u4").astype(np.int64)
+                n, data = np.frombuffer(lens, "<u4").astype(np.int64), unpress(data)
                 held, wanted = np.ones(len(n), np.uint8), np.zeros(len(n), np.uint8)
                 if notes and notes[:2] == (doc, key):
                     marks = np.array(notes[2])
@@ -209,8 +212,8 @@ def write(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
             yield batch()
 
     rows.mapInArrow(run, _STORE_DDL).write.option("compression", "zstd").parquet(path)
-    discard(coded)
-    discard(found)
+    coded.unpersist()
+    found.unpersist()
     spark._jvm.System.gc()
     return path
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .common import SLICE_BYTES, batch_of, col_of, sliced, small_batches, string_buffers, written
+from .common import SLICE_BYTES, batch_of, col_of, kept, sliced, small_batches, string_buffers, written
 
 LENGTH, GRAM = 200, 32
 #: So many positions are hashed at once.
@@ -341,7 +341,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     found = _anchored(texts, length)
     # Written, so that the join deals out both sides anew and can split what a common string makes of one hash.
     often = written(found.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h"), "suffix-hashes")
-    found = written(found.join(often, "_h", "left_semi"), "suffix-pieces", 2)
+    found = kept(found.join(often, "_h", "left_semi"))
     reps = found.groupBy("_h", "_g").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_key", "_at")).alias("_rep"))
     reps = reps.select("_h", "_g", "_n", "_rep._key", "_rep._at")
     contents = _fetch(texts, reps, length)
