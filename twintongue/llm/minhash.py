@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, col_of, sliced, small_batches, written
+from .common import batch_of, col_of, kept, sliced, small_batches, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
@@ -222,7 +222,7 @@ def _rarest(docs: DataFrame, nodes: DataFrame, text_col: str, size: int, similar
 
 def links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: str, size: int, similarity: float) -> DataFrame:
     """The pairs that are similar, by their texts."""
-    near = written(_estimated(pairs, classes, min(LEAST_ESTIMATE, similarity - 0.2)), "minhash-near")
+    near = kept(_estimated(pairs, classes, min(LEAST_ESTIMATE, similarity - 0.2)))
     ids = written(near.select(F.col("a").alias("_node")).union(near.select("b")).distinct(), "minhash-ids")
     texts = docs.select(node(text_col).alias("_node"), F.coalesce(text_col, F.lit("")).alias("_text"))
     texts = written(_only(texts, ids, "_node").groupBy("_node").agg(F.first("_text").alias("_text")), "minhash-texts")
@@ -261,7 +261,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """_id, _node, class_id (the smallest id of the document's group), group_size, _root (which names the group)."""
-    sigs = written(signatures(docs, id_col, text_col, size, bands * rows), "minhash-signatures", 2)
+    sigs = kept(signatures(docs, id_col, text_col, size, bands * rows))
     classes = written(sigs.groupBy("_node").agg(F.first("_sig").alias("_sig"), F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_copies")), "minhash-classes")
     # Texts without words have no shingles and are copies of equal texts only.
     members = _bands(classes.where(F.col("_sig") != F.lit(bytes(bands * rows * 2))), bands, rows)

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col_of, sliced, small_batches
+from .common import col_of, give_back, sliced, small_batches
 
 MOST_TOXIC, MOST_ORDINARY = 5000, 12_000
 BITS = 19
@@ -166,6 +166,8 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     model = Model(*([of(c, k, (False, True)) for c in (0, 1)] for k in (0, 1)))
     data = zstandard.ZstdCompressor(3).compress(pickle.dumps((model.__dict__, curve), protocol=4))
     yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["model"])
+    del keys, later, part, model, data
+    give_back()
 
 
 def remainder(id_col: str):
