@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, col_of, few, kept, sliced, small_batches, string_buffers
+from .common import batch_of, col_of, few, give_back, kept, sliced, small_batches, string_buffers
 
 #: Texts of about so many bytes make a block.
 BLOCK_BYTES = 14 << 20
@@ -143,6 +143,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
                 size = 0
         if waiting:
             yield block()
+        give_back()
 
     return rows.mapInArrow(run, _BLOCK_DDL)
 
@@ -275,6 +276,8 @@ def _count_bits(words: DataFrame) -> DataFrame:
             if mine.any():
                 used = np.flatnonzero(mine.any(0)).astype(np.uint16)
                 yield batch_of(_SEG, [[seg], [pack(len(used).to_bytes(4, "little") + used.tobytes() + np.ascontiguousarray(mine[:, used]).tobytes())]])
+        del n, flat
+        give_back()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Probability of a one (16 bits) and how often the slot was used (see Tables), of each segment."""
@@ -399,6 +402,8 @@ def _train_mixer(words: DataFrame, tables) -> DataFrame:
                 step += 1
         values = np.concatenate([(w * seen[:, None]).ravel(), seen, refine.ravel()])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values)), pa.int32()), pa.array(values)], ["i", "v"])
+        del t
+        give_back()
 
     return words.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
 
@@ -442,6 +447,8 @@ def _costs(words: DataFrame, tables, mixer: Mixer) -> DataFrame:
             cost = np.zeros((len(some), LANGUAGES), "<f4")
             cost[at, lang] = mixer.cost(t, Spelled([some[i] for i in at], lang))
             yield batch_of(_COST, [some, counts.sum(1), [r.tobytes() for r in cost]])
+        del t
+        give_back()
 
     return words.mapInArrow(run, "word string, c long, cost binary")
 
@@ -511,6 +518,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         begin = np.cumsum(lens) - lens
         base = np.add.reduceat(np.log10(c + 1)[codes], begin) - lens * np.log10(float(n + v + 1))
         known = np.add.reduceat((c > 0)[codes].astype(np.int64), begin)
+        give_back()
         return pa.table([block["doc_id"][0].values, pa.array(held > 0), lens.astype(np.int64), known, np.full(len(lens), n), base, np.add.reduceat(cost[codes, lang], begin)], schema=out)
 
     return blocks.select("block", "doc_id", "held", "lens", "codes", "lang").groupBy("block").cogroup(_packed(priced).groupBy("of_block")).applyInArrow(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
