@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, col_of, kept, sliced, small_batches, written
+from .common import batch_of, col_of, give_back, kept, sliced, small_batches, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
@@ -150,6 +150,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE,
             text, h, count = shingles(col_of(b, "_text"), size)
             sig = prob_min_hash(b.num_rows, text, h, damped(count), registers)
             yield batch_of(_SIG, [col_of(b, "_id"), col_of(b, "_node"), [x.tobytes() for x in sig]])
+        give_back()
 
     return rows.mapInArrow(run, "_id long, _node long, _sig binary")
 
@@ -208,6 +209,7 @@ def _rarest(docs: DataFrame, nodes: DataFrame, text_col: str, size: int, similar
         for b in sliced(batches, "_text"):
             text, h, _ = shingles(col_of(b, "_text"), size)
             yield batch_of(_RARE, [col_of(b, "_node").to_numpy()[text], np.bincount(text, minlength=b.num_rows)[text], h.view(np.int64)])
+        give_back()
 
     each = written(texts.mapInArrow(run, "_node long, _size long, _h long"), "minhash-shingles")
     often = each.groupBy("_h").agg(F.count(F.lit(1)).alias("_often")).where("_often > 1")
@@ -239,6 +241,7 @@ def links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: str,
                 got.append([h[i:j] for i, j in zip(cut[:-1], cut[1:])])
             near = pa.array([jaccard(x, y) >= similarity for x, y in zip(*got)])
             yield batch_of(_PAIR, [col_of(b, c).filter(near) for c in ("a", "b")])
+        give_back()
 
     return near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
