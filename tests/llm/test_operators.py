@@ -306,3 +306,12 @@ def test_language_model(docs, none):
     assert sorted((repr(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 4), r["held_out"]) for r in got) == want
     assert all(r["score"] < 0 and r["train_tokens"] == n for r in got)
     assert mixture.score(none).count() == 0
+
+
+def test_language_model_keeps_repeated_rows(spark):
+    """Partitions of equal rows, and of rows without ids whose first texts are equal."""
+    rows = [(1, "one two"), (2, "three")] * 2 + [(None, "one two"), (None, "four"), (None, "one two"), (None, "five six seven")]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), "doc_id long, text string")
+    got = mixture.score(docs).collect()
+    assert sorted(((r["doc_id"], r["n_tokens"]) for r in got), key=repr) == sorted([(1, 3), (2, 2)] * 2 + [(None, 3), (None, 2), (None, 3), (None, 4)], key=repr)
+    assert len({r["score"] for r in got if r["doc_id"] == 1}) == 1

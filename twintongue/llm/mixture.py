@@ -121,16 +121,20 @@ def _blocks(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
         import zstandard
+        from pyspark import TaskContext
 
-        pack = zstandard.ZstdCompressor(3).compress
-        waiting, size = [], 0
+        pack, part = zstandard.ZstdCompressor(3).compress, TaskContext.get().partitionId()
+        waiting, size, done = [], 0, 0
 
         def block() -> pa.RecordBatch:
             t = pa.Table.from_batches(waiting).combine_chunks()
             waiting.clear()
             held = t["held"].to_numpy()
-            # A number that depends on the texts alone, so that a block that is lost comes back the same.
-            number = xxhash.xxh64_intdigest(repr((t["doc_id"].to_pylist(), t["text"][0].as_py()))) >> 1
+            # A number of partition, place and all that the block holds: a block that is lost comes back the same, and blocks that share a number are equal.
+            of = xxhash.xxh64(repr((part, done, t["doc_id"].to_pylist())))
+            for x in string_buffers(t["text"]):
+                of.update(np.ascontiguousarray(x))
+            number = of.intdigest() >> 1
             x = Block(t["text"].chunk(0), held)
             columns = [_one_list(t["doc_id"].chunk(0)), *([pack(a)] for a in (held.astype(np.uint8).tobytes(), x.lens.astype("<i4").tobytes(), x.codes.astype("<i4").tobytes(), x.lang.tobytes(), " ".join(x.words.to_pylist()).encode(), x.train.astype("<i4").tobytes(), x.mask.astype(np.uint8).tobytes()))]
             return batch_of(_BLOCK, [[number], *columns])
@@ -140,7 +144,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
             size += int(string_buffers(col_of(b, "text"))[1][-1])
             if size >= BLOCK_BYTES:
                 yield block()
-                size = 0
+                size, done = 0, done + 1
         if waiting:
             yield block()
         give_back()
@@ -513,12 +517,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         c[at], cost[at] = count, price.reshape(len(at), LANGUAGES)
         import zstandard
 
-        unpack = zstandard.ZstdDecompressor().decompress
-        held, lens, codes, lang = (np.frombuffer(unpack(block[k][0].as_py()), t) for k, t in (("held", np.uint8), ("lens", "<i4"), ("codes", "<i4"), ("lang", np.uint8)))
-        begin = np.cumsum(lens) - lens
-        base = np.add.reduceat(np.log10(c + 1)[codes], begin) - lens * np.log10(float(n + v + 1))
-        known = np.add.reduceat((c > 0)[codes].astype(np.int64), begin)
+        unpack, tables = zstandard.ZstdDecompressor().decompress, []
+        for i in range(block.num_rows):  # equal blocks may share a number, and then have the same prices
+            held, lens, codes, lang = (np.frombuffer(unpack(block[k][i].as_py()), t) for k, t in (("held", np.uint8), ("lens", "<i4"), ("codes", "<i4"), ("lang", np.uint8)))
+            begin = np.cumsum(lens) - lens
+            base = np.add.reduceat(np.log10(c + 1)[codes], begin) - lens * np.log10(float(n + v + 1))
+            known = np.add.reduceat((c > 0)[codes].astype(np.int64), begin)
+            tables.append(pa.table([block["doc_id"][i].values, pa.array(held > 0), lens.astype(np.int64), known, np.full(len(lens), n), base, np.add.reduceat(cost[codes, lang], begin)], schema=out))
         give_back()
-        return pa.table([block["doc_id"][0].values, pa.array(held > 0), lens.astype(np.int64), known, np.full(len(lens), n), base, np.add.reduceat(cost[codes, lang], begin)], schema=out)
+        return pa.concat_tables(tables) if tables else out.empty_table()
 
     return blocks.select("block", "doc_id", "held", "lens", "codes", "lang").groupBy("block").cogroup(_packed(priced).groupBy("of_block")).applyInArrow(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
