@@ -107,6 +107,23 @@ def test_a_repeated_line_makes_no_near_duplicate(spark):
     assert minhash.near_duplicates(docs).where("group_size > 1").count() == 0
 
 
+def test_a_passage_repeated_in_one_of_two_copies_hides_no_link(spark):
+    """Pairs of set Jaccard 0.8 or more whose passage occurs 50 or 100 times in one text and once in the other."""
+    import pyarrow as pa
+
+    texts = []
+    for k in range(8):
+        for own, passage, times, edits in ((400, 150, 100, 4), (60, 20, 50, 0), (200, 60, 50, 2)):
+            words, line = prose(500 + 10 * k + own, own).split(), " " + prose(900 + 10 * k + own, passage)
+            edited = [f"new{i}" if i in range(9, 9 + 40 * edits, 40) else w for i, w in enumerate(words)]
+            texts += [" ".join(words) + line * times, " ".join(edited) + line]
+    text, h, _ = minhash.shingles(pa.array(texts))
+    assert all(minhash.jaccard(h[text == i], h[text == i + 1]) >= 0.8 for i in range(0, len(texts), 2))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["_id"]: r["class_id"] for r in minhash.near_duplicates(docs).collect()}
+    assert got == {i: i - i % 2 for i in range(len(texts))}
+
+
 def test_token_store(spark, docs, none):
     enc = tokens.shared_encoder(tokens.tokenizer_path())
     path = store.write(docs)

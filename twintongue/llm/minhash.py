@@ -1,17 +1,17 @@
-"""Near-duplicates by ProbMinHash over weighted word shingles.
+"""Near-duplicates by ProbMinHash over word shingles.
 
-A text's shingles are its runs of five words (fewer words are one shingle),
-weighted by 1 + ln(how often they occur). Each shingle sends a Poisson process of
-arrivals at the rate of its weight to random registers of the text's signature,
-and every register keeps its first arrival; a process ends as soon as its next
-arrival comes after all registers' (early termination). Equal registers of two
-texts then estimate their probability Jaccard, which equals Jaccard where no
-shingle repeats.
+A text's shingles are its runs of five words (fewer words are one shingle), each
+of weight 1 however often it occurs, as links count sets. Each shingle sends a
+Poisson process of arrivals at the rate of its weight to random registers of the
+text's signature, and every register keeps its first arrival; a process ends as
+soon as its next arrival comes after all registers' (early termination). Equal
+registers of two texts then estimate their probability Jaccard, which at equal
+weights is the Jaccard similarity of the sets: what links are judged by.
 
 Equal texts are one class from the start. Classes with an equal band of registers
 are candidates; a pair is a link if the Jaccard similarity of its shingle sets,
 computed from the texts, is at least `similarity` (the estimate only spares pairs
-that are 7 standard deviations below). Instead of all pairs of a bucket, each
+of a bucket that are 7 standard deviations below). Instead of all pairs of a bucket, each
 member is compared with the bucket's most central one, and the linked become
 components. In buckets that still hold several components, similar pairs may be
 left: these share one of the rarest size - ceil(similarity * size) + 1 shingles of
@@ -89,11 +89,6 @@ def shingles(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarr
     return text[at], h[at], np.diff(np.append(at, len(h)))
 
 
-def damped(counts: np.ndarray) -> np.ndarray:
-    """A shingle's weight: 1 + ln(how often it occurs), so that no repeated line outweighs a text."""
-    return 1 + np.log(counts)
-
-
 def prob_min_hash(n: int, text: np.ndarray, h: np.ndarray, weight: np.ndarray, registers: int) -> np.ndarray:
     """n by registers: the shingle (16 bits of its hash) that came first in each register; 0 in texts without shingles."""
     time = np.full(n * registers, np.inf)
@@ -147,8 +142,8 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "_text", 2 << 20):
-            text, h, count = shingles(col_of(b, "_text"), size)
-            sig = prob_min_hash(b.num_rows, text, h, damped(count), registers)
+            text, h, _ = shingles(col_of(b, "_text"), size)
+            sig = prob_min_hash(b.num_rows, text, h, np.ones(len(h)), registers)
             yield batch_of(_SIG, [col_of(b, "_id"), col_of(b, "_node"), [x.tobytes() for x in sig]])
         give_back()
 
@@ -222,9 +217,8 @@ def _rarest(docs: DataFrame, nodes: DataFrame, text_col: str, size: int, similar
     return common.withColumn("_at", rank + own).where(F.col("_at") <= least).select("_node", "_size", "_h", "_at")
 
 
-def links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: str, size: int, similarity: float) -> DataFrame:
-    """The pairs that are similar, by their texts."""
-    near = kept(_estimated(pairs, classes, min(LEAST_ESTIMATE, similarity - 0.2)))
+def links(near: DataFrame, docs: DataFrame, text_col: str, size: int, similarity: float) -> DataFrame:
+    """The pairs a, b that are similar, by their texts."""
     ids = written(near.select(F.col("a").alias("_node")).union(near.select("b")).distinct(), "minhash-ids")
     texts = docs.select(node(text_col).alias("_node"), F.coalesce(text_col, F.lit("")).alias("_text"))
     texts = written(_only(texts, ids, "_node").groupBy("_node").agg(F.first("_text").alias("_text")), "minhash-texts")
@@ -277,7 +271,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spoken = buckets.select("_node").distinct()
     signed = written(classes.join(spoken, "_node", "left_semi").select("_node", "_sig"), "minhash-signed")
     stars = written(buckets.where("_node <> _pivot").select(F.col("_pivot").alias("a"), F.col("_node").alias("b")).distinct(), "minhash-stars")
-    found = written(links(stars, signed, docs, text_col, size, similarity), "minhash-links")
+    likely = kept(_estimated(stars, signed, min(LEAST_ESTIMATE, similarity - 0.2)))
+    found = written(links(likely, docs, text_col, size, similarity), "minhash-links")
     roots = components(found)
     rest = buckets.join(roots, "_node", "left").select("_band", "_node", F.coalesce("_root", "_node").alias("_root"))
     several = rest.groupBy("_band").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi")).where("_lo <> _hi").select("_band")
@@ -296,7 +291,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cross = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     cross = written(cross, "minhash-cross")
     if not cross.isEmpty():
-        more = links(cross, signed, docs, text_col, size, similarity)
+        more = links(cross, docs, text_col, size, similarity)
         roots = components(written(found.union(more), "minhash-all-links"))
     named = classes.join(roots, "_node", "left").select("_node", F.coalesce("_root", "_node").alias("_root"), "_first", "_copies")
     groups = named.groupBy("_root").agg(F.min("_first").alias("class_id"), F.sum("_copies").alias("group_size"))
