@@ -332,3 +332,11 @@ def test_language_model_keeps_repeated_rows(spark):
     got = mixture.score(docs).collect()
     assert sorted(((r["doc_id"], r["n_tokens"]) for r in got), key=repr) == sorted([(1, 3), (2, 2)] * 2 + [(None, 3), (None, 2), (None, 3), (None, 4)], key=repr)
     assert len({r["score"] for r in got if r["doc_id"] == 1}) == 1
+
+
+def test_all_words_train_the_mixer(docs, monkeypatch):
+    seen, train = [], mixture._train_mixer
+    monkeypatch.setattr(mixture, "MOST_TRAINED", 10, raising=False)
+    monkeypatch.setattr(mixture, "_train_mixer", lambda words, tables: seen.append(words.select("word").collect()) or train(words, tables))
+    mixture.score(docs).count()
+    assert {r["word"] for r in seen[0]} == {w for _, t, _ in ROWS for w in [*(t or "").split(), mixture.END]}
