@@ -340,3 +340,11 @@ def test_all_words_train_the_mixer(docs, monkeypatch):
     monkeypatch.setattr(mixture, "_train_mixer", lambda words, tables: seen.append(words.select("word").collect()) or train(words, tables))
     mixture.score(docs).count()
     assert {r["word"] for r in seen[0]} == {w for _, t, _ in ROWS for w in [*(t or "").split(), mixture.END]}
+
+
+def test_words_seen_once_are_counted_in_every_context(spark):
+    words = spark.createDataFrame([("ox", 1, 0, 0, 0, 0, 1)], "word string, n0 int, n1 int, n2 int, n3 int, n4 int, mask int")
+    tables = mixture.Tables([(r["seg"], bytes(r["data"])) for r in mixture._count_bits(words).collect()])
+    x = mixture.Spelled(["ox"], np.zeros(1, np.int64))
+    slots, _ = x.bits(slice(0, 3), x.contexts())
+    assert (tables.q[slots] > 0).all()

@@ -43,8 +43,6 @@ BLOCK_BYTES = 14 << 20
 BITS = (20, 20, 21, 22, 22, 22, 22)
 SLOTS = sum(1 << b for b in BITS)
 SEGMENT = 1 << 16
-#: Rarer words say nothing about what follows a whole beginning of a word.
-OFTEN = 2
 END = "\n"
 GATES, BUCKETS = 30, 24
 #: Function words that tell languages apart (fixed values).
@@ -259,19 +257,14 @@ def _count_bits(words: DataFrame) -> DataFrame:
                 continue
             x = Spelled([words[i] for i in w], t)
             weight = counts[w, t].astype(np.float32)
-            often = counts.sum(1)[w] >= OFTEN
             ctx = x.contexts()
             for part in parts(len(x.data)):
                 slots, bit = x.bits(part, ctx)
                 each = np.repeat(weight[x.word[part]], 8)
-                also = np.repeat(often[x.word[part]], 8)
                 slots *= 2
                 slots += bit
                 for k in range(len(BITS)):
-                    if k in (4, 5):
-                        np.add.at(flat, slots[k][also], each[also])
-                    else:
-                        np.add.at(flat, slots[k], each)
+                    np.add.at(flat, slots[k], each)
         pack = zstandard.ZstdCompressor(3).compress
         for seg in range(SLOTS // SEGMENT):
             mine = n[seg * SEGMENT : (seg + 1) * SEGMENT].T
@@ -342,15 +335,13 @@ class Tables:
     def _gate(longest: np.ndarray, four: np.ndarray, first: np.ndarray) -> np.ndarray:
         return np.searchsorted(np.array([1, 4, 16, 256], np.float32), longest, "right") * 6 + np.searchsorted(np.array([1, 16], np.float32), four, "right") * 2 + first
 
-    def inputs(self, slots: np.ndarray, first: np.ndarray, bit: np.ndarray | None = None, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Log-odds of each context (7, bits) and the gate of each bit. bit: leaves one such event out of the counts, where own says that it is in."""
+    def inputs(self, slots: np.ndarray, first: np.ndarray, bit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds of each context (7, bits) and the gate of each bit. bit: leaves one such event out of the counts."""
         q = self.q[slots]
         n = self.times[q]
         ones = self.p[slots].astype(np.float32) * (n / np.float32(65535))
         if bit is not None:
-            left = np.ones((len(BITS), len(bit)), bool)
-            left[4:6] = own
-            take = left & (n > 0)
+            take = n > 0
             n = np.where(take, np.maximum(n - 1, 0), n)
             ones = np.clip(np.where(take, ones - bit, ones), 0, n)
         x = np.log((ones + np.float32(0.4)) / (np.maximum(n - ones, 0) + np.float32(0.4)))
@@ -381,12 +372,11 @@ def _train_mixer(words: DataFrame, tables) -> DataFrame:
                 continue
             x = Spelled([some[i] for i in at], lang)
             weight = counts[at, lang].astype(np.float64)
-            often = counts.sum(1)[at] >= OFTEN
             ctx = x.contexts()
             for part in parts(len(x.data)):
                 slots, bit = x.bits(part, ctx)
                 word = np.repeat(x.word[part], 8)
-                inputs, gate = t.inputs(slots, np.repeat(x.place[part] == 0, 8), bit, often[word])
+                inputs, gate = t.inputs(slots, np.repeat(x.place[part] == 0, 8), bit)
                 z = _weighed(w, gate, inputs)
                 p = 1 / (1 + np.exp(-np.clip(z, -20, 20)))
                 e = weight[word]
