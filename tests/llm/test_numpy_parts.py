@@ -221,6 +221,41 @@ def test_bit_predictors_sum_to_one():
     assert p.sum() == pytest.approx(1, abs=1e-3)
 
 
+def test_bits_after_beginnings_are_counted_exactly():
+    rng = np.random.default_rng(5)
+    words = sorted({"".join(rng.choice(list("abé"), rng.integers(1, 9))) for _ in range(3000)}, key=lambda w: (w.encode()[: mixture.BEGIN], w[::-1]))
+    lang, weight = rng.integers(0, 3, len(words)), rng.integers(0, 4, len(words))
+    x = mixture.Spelled(words, lang)
+    got = mixture.Beginnings(x, x.contexts(), weight)
+    seen = {}
+    for i, w in enumerate(words):
+        raw = w.encode() + b" "
+        for p in range(len(raw)):
+            for key in ((raw[:p], None), (raw[:p], lang[i])):
+                for j in range(8):
+                    c = seen.setdefault((*key, raw[p] >> (8 - j), j), [0, 0])
+                    c[0] += weight[i]
+                    c[1] += weight[i] * (raw[p] >> (7 - j) & 1)
+    at = 0
+    for i, w in enumerate(words):
+        raw = w.encode() + b" "
+        for p in range(len(raw)):
+            assert got.far[at] == (p >= mixture.BEGIN)
+            for k, key in enumerate(((raw[:p], None), (raw[:p], lang[i]))):
+                want = [seen[(*key, raw[p] >> (8 - j), j)] for j in range(8)] if p >= mixture.BEGIN else [[0, 0]] * 8
+                assert np.stack([got.n[k, at], got.ones[k, at]], 1).tolist() == want
+            at += 1
+
+
+def test_words_of_one_beginning_stay_together():
+    words = [f"{b}{i:06d}" for b, n in (("aaa", 3), ("bbb", 60_000), ("ccc", 1), ("ddd", 30_000), ("eee", 9)) for i in range(n)]
+    columns = [pa.array(words), *(pa.array(np.ones(len(words), np.int64)) for _ in range(mixture.LANGUAGES + 1))]
+    whole = pa.RecordBatch.from_arrays(columns, ["word", *mixture._COUNTS, "mask"])
+    got = [w for w, _, _ in mixture._by_beginning(whole.slice(i, 2000) for i in range(0, len(words), 2000))]
+    begun = [sorted({w[:3] for w in g}) for g in got]
+    assert [w for g in got for w in g] == words and len(got) > 1 and sum(map(len, begun)) == 5
+
+
 def test_running_language():
     words = ["the", "xx", "der", "yy", "und", "zz"]
     own = mixture.languages(pa.array(words))

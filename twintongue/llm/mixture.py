@@ -15,9 +15,11 @@ mean of both is used. Bits add up to total bits per text.
 What a word costs depends on the word and the language alone. So the texts are cut
 into blocks that number their different words; words and counts (not texts) are
 gathered over all documents, every different word is spelled once, and what it
-costs goes back to the blocks that have it. Everything gathered grows with the
-corpus but the bit tables, whose size (SLOTS, 3 bytes a slot) is fixed and which
-are broadcast.
+costs goes back to the blocks that have it. Words are dealt to tasks by their first
+BEGIN bytes, so a task has all words with a longer beginning and counts what follows
+it exactly; these counts grow with the corpus. What follows shorter beginnings and
+the last one to four bytes is counted in tables of a fixed size (SLOTS, 3 bytes a
+slot), which are broadcast.
 
 Defined results: null and empty texts are an end alone; a null doc_id stays null
 and counts as training text; repeated rows are texts of their own; other columns
@@ -43,6 +45,8 @@ BLOCK_BYTES = 14 << 20
 BITS = (20, 20, 21, 22, 22, 22, 22)
 SLOTS = sum(1 << b for b in BITS)
 SEGMENT = 1 << 16
+#: Words are dealt by so many first bytes; what follows more of them is counted in their task.
+BEGIN = 3
 END = "\n"
 GATES, BUCKETS = 30, 24
 #: Function words that tell languages apart (fixed values).
@@ -189,7 +193,7 @@ class Spelled:
         self.place = np.arange(len(self.data)) - np.repeat(np.cumsum(self.lens) - self.lens, self.lens)
         self.lang = lang.astype(np.uint64)[self.word]
         longest = int(self.lens.max()) if len(raw) else 0
-        power = np.cumprod(np.concatenate([[1], np.full(max(0, longest - 1), 0xD6E8FEB86659FD93, np.uint64)]).astype(np.uint64))
+        power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(0, longest - 1), 0xD6E8FEB86659FD93, np.uint64)]), dtype=np.uint64)
         term = (self.data.astype(np.uint64) + np.uint64(1)) * power[self.place]
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(term, dtype=np.uint64)])
         start = np.arange(len(self.data)) - self.place
@@ -240,6 +244,57 @@ def _some_words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str],
         yield col_of(b, "word").to_pylist(), counts, col_of(b, "mask").to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def _by_beginning(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """Like _some_words, but words of one beginning, which follow each other, stay together."""
+    waiting, size, least = [], 0, 1 << 15
+
+    def some(t: pa.Table) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+        counts = np.stack([t[c].to_numpy() for c in _COUNTS], 1)
+        yield t["word"].to_pylist(), counts, t["mask"].to_numpy().astype(np.int64)
+
+    for b in sliced(batches, "word", 1 << 14):
+        waiting.append(b)
+        size += int(string_buffers(col_of(b, "word"))[1][-1])
+        if size < least:
+            continue
+        t = pa.Table.from_batches(waiting).combine_chunks()
+        begin = pc.binary_slice(t["word"].cast(pa.binary()), 0, BEGIN)
+        whole = t.num_rows - 1 - pc.index(pc.equal(begin, begin[-1]).combine_chunks()[::-1], False).as_py() if pc.any(pc.not_equal(begin, begin[-1])).as_py() else -1
+        if whole < 0:
+            least = 2 * size
+            continue
+        yield from some(t.slice(0, whole + 1))
+        waiting = t.slice(whole + 1).combine_chunks().to_batches()
+        size, least = sum(int(string_buffers(col_of(w, "word"))[1][-1]) for w in waiting), 1 << 15
+    if waiting:
+        yield from some(pa.Table.from_batches(waiting))
+
+
+class Beginnings:
+    """Exact counts of the bits after beginnings of BEGIN bytes and more (contexts 4 and 5), from all words that have them."""
+
+    def __init__(self, x: Spelled, contexts: list[np.ndarray], weight: np.ndarray):
+        self.far = x.place >= BEGIN
+        at = np.flatnonzero(self.far)
+        self.n, self.ones = np.zeros((2, len(x.data), 8), np.float32), np.zeros((2, len(x.data), 8), np.float32)
+        if not len(at):
+            return
+        for k in (0, 1):
+            order = at[np.lexsort((x.data[at], contexts[4 + k][at]))]
+            ctx, byte, w = contexts[4 + k][order], x.data[order].astype(np.int64), weight[x.word[order]].astype(np.float64)
+            for j in range(8):
+                top = byte >> (8 - j)
+                new = np.ones(len(order), bool)
+                new[1:] = (ctx[1:] != ctx[:-1]) | (top[1:] != top[:-1])
+                start, mine = np.flatnonzero(new), np.cumsum(new) - 1
+                self.n[k, order, j] = np.add.reduceat(w, start)[mine]
+                self.ones[k, order, j] = np.add.reduceat(w * (byte >> (7 - j) & 1), start)[mine]
+
+    def part(self, part: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each bit of the part, whether these counts hold, how often it was seen, and ones, after both contexts."""
+        return np.repeat(self.far[part], 8), self.n[:, part].reshape(2, -1), self.ones[:, part].reshape(2, -1)
+
+
 _SEG = pa.schema([("seg", pa.int32()), ("data", pa.binary())])
 
 
@@ -261,10 +316,14 @@ def _count_bits(words: DataFrame) -> DataFrame:
             for part in parts(len(x.data)):
                 slots, bit = x.bits(part, ctx)
                 each = np.repeat(weight[x.word[part]], 8)
+                near = np.repeat(x.place[part] < BEGIN, 8)
                 slots *= 2
                 slots += bit
                 for k in range(len(BITS)):
-                    np.add.at(flat, slots[k], each)
+                    if k in (4, 5):
+                        np.add.at(flat, slots[k][near], each[near])
+                    else:
+                        np.add.at(flat, slots[k], each)
         pack = zstandard.ZstdCompressor(3).compress
         for seg in range(SLOTS // SEGMENT):
             mine = n[seg * SEGMENT : (seg + 1) * SEGMENT].T
@@ -320,7 +379,7 @@ class Tables:
         self.times = np.where(k < 128, k, 128 * 2.0 ** ((k - 128) / 6)).astype(np.float32)
         self.x: np.ndarray | None = None
 
-    def plain(self, slots: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def plain(self, slots: np.ndarray, first: np.ndarray, begun: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
         """As inputs, with all counts as they are: the log-odds are a table too."""
         if self.x is None:
             self.x = np.empty(SLOTS, np.float16)
@@ -329,17 +388,24 @@ class Tables:
                 n = self.times[self.q[at]]
                 ones = self.p[at].astype(np.float32) * (n / np.float32(65535))
                 self.x[at] = np.log((ones + np.float32(0.4)) / (np.maximum(n - ones, 0) + np.float32(0.4)))
-        return self.x[slots].astype(np.float32), self._gate(self.times[self.q[slots[5]]], self.times[self.q[slots[3]]], first)
+        x, longest = self.x[slots].astype(np.float32), self.times[self.q[slots[5]]]
+        if begun is not None:
+            far, n, ones = begun
+            x[4:6] = np.where(far, np.log((ones + np.float32(0.4)) / (np.maximum(n - ones, 0) + np.float32(0.4))), x[4:6])
+            longest = np.where(far, n[1], longest)
+        return x, self._gate(longest, self.times[self.q[slots[3]]], first)
 
     @staticmethod
     def _gate(longest: np.ndarray, four: np.ndarray, first: np.ndarray) -> np.ndarray:
         return np.searchsorted(np.array([1, 4, 16, 256], np.float32), longest, "right") * 6 + np.searchsorted(np.array([1, 16], np.float32), four, "right") * 2 + first
 
-    def inputs(self, slots: np.ndarray, first: np.ndarray, bit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Log-odds of each context (7, bits) and the gate of each bit. bit: leaves one such event out of the counts."""
+    def inputs(self, slots: np.ndarray, first: np.ndarray, bit: np.ndarray | None = None, begun: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds of each context (7, bits) and the gate of each bit. bit: leaves one such event out of the counts. begun: see Beginnings.part."""
         q = self.q[slots]
         n = self.times[q]
         ones = self.p[slots].astype(np.float32) * (n / np.float32(65535))
+        if begun is not None:
+            n[4:6], ones[4:6] = np.where(begun[0], begun[1], n[4:6]), np.where(begun[0], begun[2], ones[4:6])
         if bit is not None:
             take = n > 0
             n = np.where(take, np.maximum(n - 1, 0), n)
@@ -366,17 +432,18 @@ def _train_mixer(words: DataFrame, tables) -> DataFrame:
         t = Tables(tables.value)
         w = np.full((GATES, len(BITS)), 0.25)
         seen, refine, step = np.zeros(GATES), np.zeros((GATES, BUCKETS, 2)), 0
-        for some, counts, _ in _some_words(batches):
+        for some, counts, _ in _by_beginning(batches):
             at, lang = np.nonzero(counts)
             if not len(at):
                 continue
             x = Spelled([some[i] for i in at], lang)
             weight = counts[at, lang].astype(np.float64)
             ctx = x.contexts()
+            begun = Beginnings(x, ctx, weight)
             for part in parts(len(x.data)):
                 slots, bit = x.bits(part, ctx)
                 word = np.repeat(x.word[part], 8)
-                inputs, gate = t.inputs(slots, np.repeat(x.place[part] == 0, 8), bit)
+                inputs, gate = t.inputs(slots, np.repeat(x.place[part] == 0, 8), bit, begun.part(part))
                 z = _weighed(w, gate, inputs)
                 p = 1 / (1 + np.exp(-np.clip(z, -20, 20)))
                 e = weight[word]
@@ -410,12 +477,13 @@ class Mixer:
         middle = 1 / (1 + np.exp(-((np.arange(BUCKETS) + 0.5) * (16 / BUCKETS) - 8)))
         self.refine = (refine[:, :, 1] + 50 * middle) / (refine.sum(2) + 50)
 
-    def cost(self, tables: Tables, x: Spelled) -> np.ndarray:
-        """Of each word, log10 of its probability."""
+    def cost(self, tables: Tables, x: Spelled, weight: np.ndarray | None = None) -> np.ndarray:
+        """Of each word, log10 of its probability. weight: how often it was seen; without, the tables count all beginnings."""
         out, ctx = np.zeros(len(x.lens)), x.contexts()
+        begun = None if weight is None else Beginnings(x, ctx, weight)
         for part in parts(len(x.data)):
             slots, bit = x.bits(part, ctx)
-            inputs, gate = tables.plain(slots, np.repeat(x.place[part] == 0, 8))
+            inputs, gate = tables.plain(slots, np.repeat(x.place[part] == 0, 8), begun and begun.part(part))
             z = _weighed(self.w, gate, inputs)
             p = (1 / (1 + np.exp(-np.clip(z, -20, 20))) + self.refine[gate, bucket(z)]) / 2
             p = np.clip(np.where(bit == 1, p, 1 - p), 2.0**-16, 1 - 2.0**-16)
@@ -431,10 +499,10 @@ def _costs(words: DataFrame, tables, mixer: Mixer) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Tables(tables.value)
-        for some, counts, mask in _some_words(batches):
+        for some, counts, mask in _by_beginning(batches):
             at, lang = np.nonzero(mask[:, None] >> np.arange(LANGUAGES) & 1)
             cost = np.zeros((len(some), LANGUAGES), "<f4")
-            cost[at, lang] = mixer.cost(t, Spelled([some[i] for i in at], lang))
+            cost[at, lang] = mixer.cost(t, Spelled([some[i] for i in at], lang), counts[at, lang])
             yield batch_of(_COST, [some, counts.sum(1), [r.tobytes() for r in cost]])
         del t
         give_back()
@@ -483,7 +551,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     blocks = kept(_blocks(rows))
     local = _local_words(blocks)
     sums = [F.sum(c).alias(c) for c in _COUNTS]
-    words = kept(local.groupBy("word").agg(*sums, F.bit_or("mask").alias("mask")))
+    begun = local.withColumn("begin", F.substring(F.col("word").cast("binary"), 1, BEGIN)).repartition("begin")
+    words = kept(begun.groupBy("begin", "word").agg(*sums, F.bit_or("mask").alias("mask")).sortWithinPartitions("begin").drop("begin"))
     count = sum(F.col(c) for c in _COUNTS)
     total = words.agg(F.sum(count).alias("n"), F.count(F.when(count > 0, 1)).alias("v")).first()
     n, v = total["n"] or 0, total["v"] or 0
