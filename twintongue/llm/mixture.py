@@ -1,35 +1,44 @@
 """Language-model scores by online logistic mixing of hashed-context bit predictors.
 
-A text is its words (A-Z lowered) and an end. A word is spelled in bytes and a
-space, the end in one byte of its own, and each byte in eight bits. Seven contexts
-predict a bit: the last two, three and four bytes of the word, all of it so far,
-and, together with the language that the last function word of the text suggests,
-the last byte, the last three and all of it so far. Each context's hash and the bits of the byte so
-far choose a slot of a table with the counts of both bits in the training texts.
-A mixer adds the predictors' log-odds with weights; gates (how often the two
-longest contexts were seen, and whether the word begins) choose the set of weights,
-which are trained online, each event being left out of the counts that predict
-it. An adaptive table refines the mixed probability by what really came, and the
-mean of both is used. Bits add up to total bits per text.
-
-What a word costs depends on the word and the language alone. So the texts are cut
-into blocks that number their different words; words and counts (not texts) are
-gathered over all documents, every different word is spelled once, and what it
-costs goes back to the blocks that have it. Words are dealt to tasks by their first
-BEGIN bytes, so a task has all words with a longer beginning and counts what follows
-it exactly; these counts grow with the corpus. What follows shorter beginnings and
-the last one to four bytes is counted in tables of a fixed size (SLOTS, 3 bytes a
-slot), which are broadcast.
+A text is its words (A-Z lowered) and an end. A word that training texts have more
+than once has a code: six bits say how often it is seen (in half octaves, the words
+above one in OFTEN, the end, or "another word"), the rest which word of these it is.
+Four predictors say what the next bit of a code will be: the bits before it; these
+with the word before; with the last two very common words before; and with the two
+words before. Each predictor is the pair of counts, of both bits, that its hashed
+context has in the training texts. A mixer adds the predictors' log-odds with
+weights. Gates (for how many words the two words before have told the next one, how
+often they were seen, and the place in the code) choose the set of weights, which
+are trained online. An adaptive table refines the mixed probability by what really
+came, and the mean of both is used. Another word is, after its six bits, spelled in
+bytes and a space, with predictors after one to four bytes and all bytes before,
+mixed and refined in the same way; these learn from each different word once. Bits
+add up to total bits per text. An event of a training text is left out of the counts
+that predict it, so a training text is scored by what the other texts, and the rest
+of it, say, like a text that is held out.
+
+What grows with the corpus is never in one place. Texts are cut into blocks that
+number their different words. Words go to tasks by their hash, which count them and
+answer each block with counts, codes and spelling prices. The pairs (two words
+before, code) go to tasks by the hash of the two words before, which count exactly
+and answer each block with how often the two words were seen and how often the next
+word's first bits followed them; hashes are as long as the number of tokens asks
+for. If both words before are above one in COMMON, the third predictor has the same
+context, so such pairs, which could be many in one task, are not sent. Counts of the
+other predictors have at most OFTEN or COMMON squared contexts and few bits each,
+whatever the corpus; they and the spelling counts are tables of a fixed size (3
+bytes a slot, 55 MB in all), which are broadcast.
 
 Defined results: null and empty texts are an end alone; a null doc_id stays null
 and counts as training text; repeated rows are texts of their own; other columns
 are not read; an empty table gives an empty table, and without training texts
-every bit costs one bit.
+every bit costs one bit. Memory of a task grows with its longest text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,47 +46,290 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, col_of, few, give_back, kept, sliced, small_batches, string_buffers
+from .common import batch_of, col_of, give_back, kept, ragged, sliced, small_batches, string_buffers
 
 #: Texts of about so many bytes make a block.
-BLOCK_BYTES = 14 << 20
-#: Bits of the slot number in each context's table: language and last byte, two to four bytes, word so far, language and word so far, language and three bytes.
-BITS = (20, 20, 21, 22, 22, 22, 22)
-SLOTS = sum(1 << b for b in BITS)
-SEGMENT = 1 << 16
-#: Words are dealt by so many first bytes; what follows more of them is counted in their task.
-BEGIN = 3
+BLOCK_BYTES = 8 << 20
 END = "\n"
-GATES, BUCKETS = 30, 24
-#: Function words that tell languages apart (fixed values).
-FUNCTION_WORDS = (
-    "the of and to is that it for was with as by this at are be from",
-    "der die und das den von zu mit sich auf ist im dem nicht ein eine für",
-    "le les des et une du est dans qui pour pas sur au aux ne ce",
-    "el los las y una del se por con para su lo como más pero",
-)
-LANGUAGES = len(FUNCTION_WORDS) + 1
-
-
-def languages(words: pa.Array) -> np.ndarray:
-    """1 and up for function words, 0 for others."""
-    known = [(w, k + 1) for k, line in enumerate(FUNCTION_WORDS) for w in line.split()]
-    at = pc.index_in(words, value_set=pa.array([w for w, _ in known])).fill_null(len(known)).to_numpy(zero_copy_only=False)
-    return np.array([*(k for _, k in known), 0], np.uint8)[at]
-
-
-def running_language(own: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """Of each token, the language of the last function word before it in its text (0: none)."""
-    seen = np.where(own > 0, np.arange(len(own), dtype=np.int32), np.int32(-1))
-    np.maximum.accumulate(seen, out=seen)
-    seen = np.concatenate([np.array([-1], np.int32), seen[:-1]])
-    first = np.repeat((np.cumsum(lens) - lens).astype(np.int32), lens)
-    seen[seen < first] = -1
-    return np.where(seen >= 0, own[seen], 0).astype(np.uint8)
+#: A word is often seen with a share of one in OFTEN, and common with one in COMMON.
+OFTEN, COMMON = 4096, 256
+#: Bits of a code: the class, and which word of the class at most.
+CLASS, INDEX = 6, 44
+OTHER, LISTED, ENDING = 0, 62, 63
+#: Bits of slot numbers, and to which bit of a code they count: no context, the word before, the last two common words.
+DENSE_BITS, DENSE_DEPTH = (20, 22, 22), (CLASS + 14, CLASS + 6, CLASS + 4)
+#: Bits of slot numbers of the spelling tables: after one to four bytes, and all bytes before.
+SPELL_BITS = (16, 20, 21, 21, 22)
+SEGMENT = 1 << 16
+#: The gates of both mixers, and steps of the refining tables.
+GATES, SPELL_GATES, BUCKETS = 40, 12, 24
+#: About so many words, and pairs of a context and a code, are one task's at once.
+WORDS_AT_ONCE, PAIRS_AT_ONCE = 400_000, 2_000_000
+#: A task that counts into a table works on so many bytes of text at least.
+COUNTED_BYTES = 256 << 20
+#: Bits that are mixed at once.
+PART = 1 << 16
+_U = np.uint64
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays one after the other, each by its bytes' places, as high bytes are alike."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(3).compress(b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes() for a in map(np.ascontiguousarray, arrays)))
+
+
+def _unpack(data: bytes, *kinds: tuple[type, int | None]) -> list[np.ndarray]:
+    """kinds: type and length of each array; the last may be as long as the rest."""
+    import zstandard
+
+    raw, at, out = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8), 0, []
+    for kind, n in kinds:
+        size = np.dtype(kind).itemsize
+        n = (len(raw) - at) // size if n is None else n
+        out.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(kind).ravel())
+        at += n * size
+    return out
+
+
+def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
+    """Rows that follow each other and have the same key."""
+    now, rows = None, []
+    for b in batches:
+        for r in b.to_pylist():
+            if rows and r[key] != now:
+                yield now, rows
+                rows = []
+            now = r[key]
+            rows.append(r)
+    if rows:
+        yield now, rows
+
+
+# Tables of a fixed size ------------------------------------------------------------------------------------------
+
+
+class Counter:
+    """Counts of both bits of slots in one task."""
+
+    def __init__(self, slots: int):
+        self.n = np.zeros(2 * slots, np.int32)
+
+    def add(self, slots: np.ndarray, bit: np.ndarray) -> None:
+        np.add.at(self.n, 2 * slots + bit, 1)
+
+    def segments(self) -> Iterator[tuple[int, bytes]]:
+        """Number, and used places with both counts, of each segment that is used."""
+        for seg in range(-(-len(self.n) // (2 * SEGMENT))):
+            mine = self.n[2 * SEGMENT * seg : 2 * SEGMENT * (seg + 1)].reshape(-1, 2)
+            used = np.flatnonzero(mine.any(1))
+            if len(used):
+                yield seg, len(used).to_bytes(4, "little") + _pack(used.astype(np.uint16), mine[used].ravel())
+
+
+_SEG = pa.schema([("seg", pa.int32()), ("data", pa.binary())])
+_SEG_DDL = "seg int, data binary"
+
+
+def _merged(segments: DataFrame) -> list[tuple[int, bytes]]:
+    """Of each segment, the probability of a one (16 bits) and how often the slot was used (8 bits, see Table)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for seg, rows in _groups(batches, "seg"):
+            n = np.zeros((SEGMENT, 2), np.int64)
+            for r in rows:
+                k = int.from_bytes(r["data"][:4], "little")
+                used, counts = _unpack(r["data"][4:], (np.uint16, k), (np.int32, 2 * k))
+                n[used] += counts.reshape(k, 2)
+            total = n.sum(1)
+            p = np.round(n[:, 1] / np.maximum(total, 1) * 65535).astype(np.uint16)
+            q = np.where(total < 128, total, np.minimum(255, np.round(128 + 4 * np.log2(np.maximum(total, 1) / 128)))).astype(np.uint8)
+            yield batch_of(_SEG, [[seg], [_pack(p, q)]])
+
+    return [(r["seg"], bytes(r["data"])) for r in segments.repartition("seg").sortWithinPartitions("seg").mapInArrow(run, _SEG_DDL).collect()]
+
+
+class Table:
+    """What the slots of several contexts say."""
+
+    def __init__(self, bits: tuple[int, ...], segments: list[tuple[int, bytes]]):
+        slots = sum(1 << b for b in bits)
+        slots += -slots % SEGMENT
+        self.bits, self.base = bits, np.cumsum([0, *(1 << b for b in bits)])
+        self.p, self.q = np.zeros(slots, np.uint16), np.zeros(slots, np.uint8)
+        for seg, data in segments:
+            at = slice(seg * SEGMENT, (seg + 1) * SEGMENT)
+            self.p[at], self.q[at] = _unpack(data, (np.uint16, SEGMENT), (np.uint8, SEGMENT))
+        k = np.arange(256)
+        self.times = np.where(k < 128, k, 128 * 2.0 ** ((k - 128) / 4)).astype(np.float32)
+
+    def agree(self, slots: np.ndarray, bit: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds of the bits that came, and how often the slots were seen, without the event itself where own is 1."""
+        n = self.times[self.q[slots]]
+        ones = self.p[slots].astype(np.float32) * (n / np.float32(65535))
+        same = np.where(bit == 1, ones, n - ones)
+        return odds(n, same, own)
+
+
+def odds(n: np.ndarray, same: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = np.maximum(n - own, 0)
+    same = np.clip(same - own, 0, n)
+    return np.log((same + np.float32(0.4)) / (n - same + np.float32(0.4))), n
+
+
+def slots_of(bits: tuple[int, ...], k: int, context: np.ndarray, node: np.ndarray) -> np.ndarray:
+    h = (context ^ node) * _U(0xD6E8FEB86659FD93)
+    return ((h ^ (h >> _U(32))) * _U(0x9E3779B97F4A7C15) >> _U(64 - bits[k])).astype(np.int64) + int(sum(1 << b for b in bits[:k]))
+
+
+# Mixing ----------------------------------------------------------------------------------------------------------
+
+
+def _bucket(z: np.ndarray) -> np.ndarray:
+    return np.minimum(np.abs(z) * (BUCKETS / 12), BUCKETS - 1).astype(np.int64)
+
+
+class Mixer:
+    """Weights and refining table of each gate. Log-odds are those of the bits that came, so both bits are treated alike."""
+
+    def __init__(self, gates: int, inputs: int, sums: np.ndarray | None = None):
+        self.gates, self.w = gates, np.full((gates, inputs), 1.2 / inputs)
+        self.seen, self.refine, self.step = np.zeros(gates), np.zeros((gates, BUCKETS, 2)), 0
+        if sums is not None and len(sums):
+            k = gates * inputs
+            seen = sums[k : k + gates, None]
+            self.w = np.where(seen > 0, sums[:k].reshape(gates, inputs) / np.maximum(seen, 1e-9), self.w)
+            refine = sums[k + gates :].reshape(gates, BUCKETS, 2)
+            middle = 1 / (1 + np.exp(-(np.arange(BUCKETS) + 0.5) * (12 / BUCKETS)))
+            self.right = (refine[:, :, 1] + 50 * middle) / (refine.sum(2) + 50)
+
+    def mix(self, inputs: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+        z, w = np.zeros(len(gate), np.float32), self.w.astype(np.float32)
+        for k, x in enumerate(inputs):
+            z += w[:, k][gate] * x
+        return z
+
+    def learn(self, inputs: list[np.ndarray], gate: np.ndarray) -> None:
+        """One step of the weights towards what came."""
+        z = self.mix(inputs, gate)
+        p = 1 / (1 + np.exp(-np.clip(z, -20, 20)))
+        mass = np.bincount(gate, minlength=self.gates)
+        rate, miss, curve = 0.3 / np.sqrt(1 + self.step / 8), 1 - p, p * (1 - p)
+        for k, x in enumerate(inputs):
+            push = np.bincount(gate, miss * x, self.gates)
+            bend = np.bincount(gate, curve * x * x, self.gates)
+            self.w[:, k] += rate * np.clip(push / (bend + 0.02 * mass + 1e-9), -1, 1)
+        self.seen += mass
+        sure = z != 0
+        self.refine += np.bincount((gate[sure] * BUCKETS + _bucket(z[sure])) * 2 + (z[sure] > 0), minlength=self.refine.size).reshape(self.refine.shape)
+        self.step += 1
+
+    def sums(self) -> np.ndarray:
+        """What adds up over tasks: weights by their task's share, the shares, and the refining table."""
+        return np.concatenate([(self.w * self.seen[:, None]).ravel(), self.seen, self.refine.ravel()])
+
+    def log10(self, inputs: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+        """Of the bits that came, log10 of their probability."""
+        z = self.mix(inputs, gate)
+        right = self.right[gate, _bucket(z)]
+        refined = np.where(z > 0, right, np.where(z < 0, 1 - right, 0.5))
+        return np.log10(np.clip((1 / (1 + np.exp(-np.clip(z, -20, 20))) + refined) / 2, 2.0**-16, 1 - 2.0**-16))
+
+
+def _summed(rows: DataFrame, size: int) -> np.ndarray:
+    """rows: i, v."""
+    out = np.zeros(size)
+    for r in rows.groupBy("i").agg(F.sum("v").alias("v")).collect():
+        out[r["i"]] = r["v"]
+    return out
+
+
+def _sum_rows(values: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(values)), pa.int32()), pa.array(values)], ["i", "v"])
+
+
+# Spelling --------------------------------------------------------------------------------------------------------
+
+
+class Spelled:
+    """The bytes of words and a space, and their contexts."""
+
+    def __init__(self, words: list[str]):
+        raw = [w.encode() + b" " for w in words]
+        self.lens = np.fromiter(map(len, raw), np.int64, len(raw))
+        self.data = np.frombuffer(b"".join(raw), np.uint8)
+        self.word = np.repeat(np.arange(len(raw)), self.lens)
+        self.place = np.arange(len(self.data)) - np.repeat(np.cumsum(self.lens) - self.lens, self.lens)
+        back = [self._back(k).astype(_U) for k in (1, 2, 3, 4)]
+        contexts = [back[0]]
+        for k in (1, 2, 3):
+            contexts.append(contexts[-1] | back[k] << _U(8 * k))
+        self.contexts = [_mixed(c + _U(k + 1 << 40)) for k, c in enumerate(contexts)] + [self._begun()]
+
+    def _back(self, k: int) -> np.ndarray:
+        out = np.full(len(self.data), 32, np.uint8)
+        if len(out) > k:
+            out[k:] = np.where(self.place[k:] >= k, self.data[:-k], 32)
+        return out
+
+    def _begun(self) -> np.ndarray:
+        longest = int(self.lens.max()) if len(self.lens) else 0
+        power = np.cumprod(np.concatenate([np.ones(1, _U), np.full(max(0, longest - 1), 0xD6E8FEB86659FD93, _U)]), dtype=_U)
+        total = np.concatenate([np.zeros(1, _U), np.cumsum((self.data.astype(_U) + _U(1)) * power[self.place], dtype=_U)])
+        return _mixed(total[:-1] - total[np.arange(len(self.data)) - self.place] + self.place.astype(_U))
+
+    def parts(self) -> Iterator[tuple[slice, list[np.ndarray], np.ndarray]]:
+        """Bytes, slots of each context, and bits (8 of each byte)."""
+        for lo in range(0, len(self.data), PART // 8):
+            part = slice(lo, min(lo + PART // 8, len(self.data)))
+            s = self.data[part].astype(np.int64)
+            node = _mixed(np.stack([(1 << j) | (s >> (8 - j)) for j in range(8)], 1).ravel().astype(_U))
+            bit = np.stack([s >> (7 - j) & 1 for j in range(8)], 1).ravel()
+            yield part, [slots_of(SPELL_BITS, k, np.repeat(c[part], 8), node) for k, c in enumerate(self.contexts)], bit
+
+    def inputs(self, t: Table, own: np.ndarray) -> Iterator[tuple[slice, list[np.ndarray], np.ndarray]]:
+        """Bytes, log-odds of each predictor, and gates. own: whether the word is among those that were counted."""
+        for part, slots, bit in self.parts():
+            mine = np.repeat(own[self.word[part]], 8).astype(np.float32)
+            got = [t.agree(x, bit, mine) for x in slots]
+            seen = [np.searchsorted(np.array([1, 4, 16], np.float32), got[k][1], "right") for k in (3, 4)]
+            gate = seen[1] * 3 + np.minimum(seen[0], 2)
+            yield part, [a for a, _ in got], gate
+
+    def price(self, t: Table, mixer: Mixer, own: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.lens))
+        for part, inputs, gate in self.inputs(t, own):
+            out += np.bincount(np.repeat(self.word[part], 8), mixer.log10(inputs, gate), len(out))
+        return out
+
+
+def _some(words: list[str], own: np.ndarray) -> Iterator[tuple[list[str], np.ndarray, slice]]:
+    """Words of about a megabyte at most, so that one long word alone takes more."""
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    at = 0
+    while at < len(words):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 18), "right")))
+        yield words[at:to], own[at:to], slice(at, to)
+        at = to
+
+
+# Blocks and their words ------------------------------------------------------------------------------------------
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), _U, len(words))
 
 
 class Block:
-    """Token numbers of texts, and the words they stand for."""
+    """Token numbers of texts, and the words they stand for, by their hashes."""
 
     def __init__(self, texts: pa.Array, held: np.ndarray):
         if texts.null_count:
@@ -92,27 +344,23 @@ class Block:
             words = words.filter(full)
         coded = words.dictionary_encode()
         del words, lists, empty
-        self.words = pa.concat_arrays([coded.dictionary.cast(pa.string()), pa.array([END])])
+        known = [*coded.dictionary.to_pylist(), END]
+        order = np.argsort(_hashes(known), kind="stable")
+        place = np.empty(len(known), np.int32)
+        place[order] = np.arange(len(known), dtype=np.int32)
+        self.words = [known[i] for i in order]
         own = coded.indices.to_numpy(zero_copy_only=False)
-        n, size = len(offs) - 1, len(self.words)
+        n = len(offs) - 1
         self.lens = np.diff(offs) + 1
-        self.codes = np.full(len(own) + n, size - 1, np.int32)
+        self.codes = np.full(len(own) + n, place[-1], np.int32)
         spot = np.ones(len(self.codes), bool)
         spot[np.cumsum(self.lens) - 1] = False
-        self.codes[spot] = own
-        self.lang = running_language(languages(self.words)[self.codes], self.lens)
-        at = self.codes * np.int32(LANGUAGES) + self.lang
-        self.mask = ((np.bincount(at, minlength=size * LANGUAGES).reshape(-1, LANGUAGES) > 0) << np.arange(LANGUAGES)).sum(1)
-        self.train = np.bincount(at[~np.repeat(held, self.lens)], minlength=size * LANGUAGES).reshape(-1, LANGUAGES)
-
+        self.codes[spot] = place[own] if len(own) else own
+        self.train = np.bincount(self.codes[~np.repeat(held, self.lens)], minlength=len(known))
 
-_COUNTS = [f"n{k}" for k in range(LANGUAGES)]
-_BLOCK_DDL = "block long, doc_id array<long>, held binary, lens binary, codes binary, lang binary, words binary, counts binary, mask binary"
-_BLOCK = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held", pa.binary()), ("lens", pa.binary()), ("codes", pa.binary()), ("lang", pa.binary()), ("words", pa.binary()), ("counts", pa.binary()), ("mask", pa.binary())])
 
-
-def _one_list(values: pa.Array) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+_BLOCK_DDL = "block long, doc_id array<long>, held binary, lens binary, codes binary, words binary, counts binary, n_words long, n_tokens long, n_train long, n_bytes long"
+_BLOCK = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("held", "lens", "codes", "words", "counts")), *((c, pa.int64()) for c in ("n_words", "n_tokens", "n_train", "n_bytes"))])
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -123,8 +371,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
         import zstandard
         from pyspark import TaskContext
 
-        pack, part = zstandard.ZstdCompressor(3).compress, TaskContext.get().partitionId()
-        waiting, size, done = [], 0, 0
+        part, waiting, size, done = TaskContext.get().partitionId(), [], 0, 0
 
         def block() -> pa.RecordBatch:
             t = pa.Table.from_batches(waiting).combine_chunks()
@@ -134,10 +381,10 @@ def _blocks(rows: DataFrame) -> DataFrame:
             of = xxhash.xxh64(repr((part, done, t["doc_id"].to_pylist())))
             for x in string_buffers(t["text"]):
                 of.update(np.ascontiguousarray(x))
-            number = of.intdigest() >> 1
             x = Block(t["text"].chunk(0), held)
-            columns = [_one_list(t["doc_id"].chunk(0)), *([pack(a)] for a in (held.astype(np.uint8).tobytes(), x.lens.astype("<i4").tobytes(), x.codes.astype("<i4").tobytes(), x.lang.tobytes(), " ".join(x.words.to_pylist()).encode(), x.train.astype("<i4").tobytes(), x.mask.astype(np.uint8).tobytes()))]
-            return batch_of(_BLOCK, [[number], *columns])
+            ids = pa.ListArray.from_arrays(pa.array([0, t.num_rows], pa.int32()), t["doc_id"].chunk(0))
+            packed = [_pack(held.astype(np.uint8)), _pack(x.lens.astype(np.int32)), _pack(x.codes), zstandard.ZstdCompressor(3).compress(" ".join(x.words).encode()), _pack(x.train.astype(np.int32))]
+            return batch_of(_BLOCK, [[of.intdigest() >> 1], ids, *([p] for p in packed), [len(x.words)], [len(x.codes)], [int(x.train.sum())], [size]])
 
         for b in sliced(batches, "text"):
             waiting.append(b)
@@ -152,395 +399,498 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, _BLOCK_DDL)
 
 
-_LOCAL = pa.schema([("block", pa.int64()), ("at", pa.int32()), ("word", pa.string()), *((c, pa.int32()) for c in _COUNTS), ("mask", pa.int32())])
+_LETTER = pa.schema([("q", pa.int32()), ("block", pa.int64()), ("data", pa.binary()), ("counts", pa.binary())])
+_LETTER_DDL = "q int, block long, data binary, counts binary"
+
 
+def _letters(frame: DataFrame, run: Callable, log_q: int) -> DataFrame:
+    """What blocks send to the tasks 0 to 2 ** log_q - 1, dealt to them and kept there in order."""
+    sent = frame.mapInArrow(run, _LETTER_DDL).repartition(1 << log_q, "q").sortWithinPartitions("q", "block")
+    return kept(sent)
 
-def _local_words(blocks: DataFrame) -> DataFrame:
-    """block, at, word, counts and mask: a row for each different word of each block."""
 
+def _word_letters(blocks: DataFrame, log_q: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        unpack = zstandard.ZstdDecompressor().decompress
+        pack, unpack = zstandard.ZstdCompressor(3).compress, zstandard.ZstdDecompressor().decompress
         for b in batches:
-            for i in range(b.num_rows):
-                words = pa.array(unpack(col_of(b, "words")[i].as_py()).decode().split(" "), pa.string())
-                n = len(words)
-                counts = np.frombuffer(unpack(col_of(b, "counts")[i].as_py()), "<i4").reshape(n, LANGUAGES)
-                mask = np.frombuffer(unpack(col_of(b, "mask")[i].as_py()), np.uint8).astype(np.int32)
-                number = col_of(b, "block")[i].as_py()
-                for lo in range(0, n, 20_000):
-                    p = slice(lo, min(n, lo + 20_000))
-                    yield batch_of(_LOCAL, [np.full(p.stop - lo, number), np.arange(lo, p.stop, dtype=np.int32), words[p], *(np.ascontiguousarray(counts[p, k]) for k in range(LANGUAGES)), mask[p]])
-
-    return blocks.select("block", "words", "counts", "mask").mapInArrow(run, "block long, at int, word string, " + ", ".join(f"{c} int" for c in _COUNTS) + ", mask int")
+            for r in b.to_pylist():
+                words = unpack(r["words"]).decode().split(" ")
+                counts = _unpack(r["counts"], (np.int32, None))[0]
+                cut = np.searchsorted(_hashes(words) >> _U(64 - log_q), np.arange((1 << log_q) + 1, dtype=_U))
+                some = [(q, lo, hi) for q, (lo, hi) in enumerate(zip(cut[:-1], cut[1:])) if hi > lo]
+                for at in range(0, len(some), 64):
+                    mine = some[at : at + 64]
+                    yield batch_of(_LETTER, [[q for q, _, _ in mine], [r["block"]] * len(mine), [pack(" ".join(words[lo:hi]).encode()) for _, lo, hi in mine], [_pack(counts[lo:hi]) for _, lo, hi in mine]])
 
+    return _letters(blocks.select("block", "words", "counts"), run, log_q)
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
 
+class Lexicon:
+    """The different words of a task, how often training texts have them, and where letters have them."""
 
-class Spelled:
-    """The bytes of words, each with its language, and the slots of the bits."""
+    def __init__(self, rows: list[dict]):
+        import zstandard
 
-    def __init__(self, words: list[str], lang: np.ndarray):
-        raw = [b"\n" if w == END else w.encode() + b" " for w in words]
-        self.lens = np.fromiter(map(len, raw), np.int64, len(raw))
-        self.data = np.frombuffer(b"".join(raw), np.uint8)
-        self.word = np.repeat(np.arange(len(raw)), self.lens)
-        self.place = np.arange(len(self.data)) - np.repeat(np.cumsum(self.lens) - self.lens, self.lens)
-        self.lang = lang.astype(np.uint64)[self.word]
-        longest = int(self.lens.max()) if len(raw) else 0
-        power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(0, longest - 1), 0xD6E8FEB86659FD93, np.uint64)]), dtype=np.uint64)
-        term = (self.data.astype(np.uint64) + np.uint64(1)) * power[self.place]
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(term, dtype=np.uint64)])
-        start = np.arange(len(self.data)) - self.place
-        self.prefix = _mixed(total[:-1] - total[start] + self.place.astype(np.uint64))
-
-    def back(self, k: int) -> np.ndarray:
-        out = np.full(len(self.data), 32, np.uint64)
-        if len(out) > k:
-            out[k:] = np.where(self.place[k:] >= k, self.data[:-k], 32)
-        return out
+        unpack = zstandard.ZstdDecompressor().decompress
+        lists = [pa.array(unpack(r["data"]).decode().split(" "), pa.string()) for r in rows]
+        coded = pa.chunked_array(lists).combine_chunks().dictionary_encode()
+        self.words = coded.dictionary.to_pylist()
+        at = coded.indices.to_numpy()
+        self.c = np.bincount(at, np.concatenate([_unpack(r["counts"], (np.int32, None))[0] for r in rows]), len(self.words)).astype(np.int64)
+        ends = np.cumsum([len(x) for x in lists])
+        self.letters = [(r["block"], at[lo:hi]) for r, lo, hi in zip(rows, [0, *ends[:-1]], ends)]
 
-    def contexts(self) -> list[np.ndarray]:
-        one, two, three, four = (self.back(k) for k in (1, 2, 3, 4))
-        o2 = one | two << np.uint64(8)
-        o3 = o2 | three << np.uint64(16)
-        language = (self.lang + np.uint64(1)) << np.uint64(56)
-        return [one | language, o2, o3, o3 | four << np.uint64(24), self.prefix, self.prefix ^ _mixed(language), o3 | language]
-
-    def bits(self, part: slice, contexts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Slot of each context (7, bits) and the bits (8 for each byte of the part)."""
-        s = self.data[part].astype(np.int64)
-        node = np.stack([(1 << j) | (s >> (8 - j)) for j in range(8)], 1).ravel().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        bit = np.stack([s >> (7 - j) & 1 for j in range(8)], 1).ravel()
-        slots, base = np.empty((len(BITS), len(node)), np.int64), 0
-        for k, b in enumerate(BITS):
-            h = np.repeat(_mixed(contexts[k][part]), 8)
-            h ^= node
-            h *= np.uint64(0xD6E8FEB86659FD93)
-            h >>= np.uint64(64 - b)
-            slots[k] = h.view(np.int64)
-            slots[k] += base
-            base += 1 << b
-        return slots, bit
-
-
-#: Bytes whose bits are worked on at once.
-PART = 1 << 13
-
-
-def parts(n: int) -> Iterator[slice]:
-    return (slice(i, min(i + PART, n)) for i in range(0, n, PART))
-
-
-def _some_words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
-    """Words, counts and masks, of about 64 KB of words at a time."""
-    for b in sliced(batches, "word", 1 << 16):
-        counts = np.stack([col_of(b, c).to_numpy(zero_copy_only=False) for c in _COUNTS], 1)
-        yield col_of(b, "word").to_pylist(), counts, col_of(b, "mask").to_numpy(zero_copy_only=False).astype(np.int64)
-
-
-def _by_beginning(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
-    """Like _some_words, but words of one beginning, which follow each other, stay together."""
-    waiting, size, least = [], 0, 1 << 15
-
-    def some(t: pa.Table) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
-        counts = np.stack([t[c].to_numpy() for c in _COUNTS], 1)
-        yield t["word"].to_pylist(), counts, t["mask"].to_numpy().astype(np.int64)
-
-    for b in sliced(batches, "word", 1 << 14):
-        waiting.append(b)
-        size += int(string_buffers(col_of(b, "word"))[1][-1])
-        if size < least:
-            continue
-        t = pa.Table.from_batches(waiting).combine_chunks()
-        begin = pc.binary_slice(t["word"].cast(pa.binary()), 0, BEGIN)
-        whole = t.num_rows - 1 - pc.index(pc.equal(begin, begin[-1]).combine_chunks()[::-1], False).as_py() if pc.any(pc.not_equal(begin, begin[-1])).as_py() else -1
-        if whole < 0:
-            least = 2 * size
-            continue
-        yield from some(t.slice(0, whole + 1))
-        waiting = t.slice(whole + 1).combine_chunks().to_batches()
-        size, least = sum(int(string_buffers(col_of(w, "word"))[1][-1]) for w in waiting), 1 << 15
-    if waiting:
-        yield from some(pa.Table.from_batches(waiting))
-
-
-class Beginnings:
-    """Exact counts of the bits after beginnings of BEGIN bytes and more (contexts 4 and 5), from all words that have them."""
-
-    def __init__(self, x: Spelled, contexts: list[np.ndarray], weight: np.ndarray):
-        self.far = x.place >= BEGIN
-        at = np.flatnonzero(self.far)
-        self.n, self.ones = np.zeros((2, len(x.data), 8), np.float32), np.zeros((2, len(x.data), 8), np.float32)
-        if not len(at):
-            return
-        for k in (0, 1):
-            order = at[np.lexsort((x.data[at], contexts[4 + k][at]))]
-            ctx, byte, w = contexts[4 + k][order], x.data[order].astype(np.int64), weight[x.word[order]].astype(np.float64)
-            for j in range(8):
-                top = byte >> (8 - j)
-                new = np.ones(len(order), bool)
-                new[1:] = (ctx[1:] != ctx[:-1]) | (top[1:] != top[:-1])
-                start, mine = np.flatnonzero(new), np.cumsum(new) - 1
-                self.n[k, order, j] = np.add.reduceat(w, start)[mine]
-                self.ones[k, order, j] = np.add.reduceat(w * (byte >> (7 - j) & 1), start)[mine]
-
-    def part(self, part: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each bit of the part, whether these counts hold, how often it was seen, and ones, after both contexts."""
-        return np.repeat(self.far[part], 8), self.n[:, part].reshape(2, -1), self.ones[:, part].reshape(2, -1)
+    def classes(self, least: float) -> np.ndarray:
+        """Of each word its class; least: how often a listed word is seen."""
+        k = np.where(self.c < 2, OTHER, np.minimum(1 + np.floor(2 * np.log2(np.maximum(self.c, 1))), LISTED - 1)).astype(np.int64)
+        k[(self.c >= 2) & (self.c >= least)] = LISTED
+        if END in self.words:
+            k[self.words.index(END)] = ENDING
+        return k
 
 
-_SEG = pa.schema([("seg", pa.int32()), ("data", pa.binary())])
+_STAT = pa.schema([("k", pa.int32()), ("word", pa.string()), ("n", pa.int64())])
 
 
-def _count_bits(words: DataFrame) -> DataFrame:
-    """Of each segment of the slots that is used, the counts of both bits; a row for each task and segment, then summed."""
+def _stats(letters: DataFrame, least: float) -> tuple[int, np.ndarray, list[str]]:
+    """How many words training texts have; of each class, how many words a task has at most; the listed words, by counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        n = np.zeros((SLOTS, 2), np.float32)
-        flat = n.ravel()
-        for words, counts, _ in _some_words(batches):
-            w, t = np.nonzero(counts)
-            if not len(w):
-                continue
-            x = Spelled([words[i] for i in w], t)
-            weight = counts[w, t].astype(np.float32)
-            ctx = x.contexts()
-            for part in parts(len(x.data)):
-                slots, bit = x.bits(part, ctx)
-                each = np.repeat(weight[x.word[part]], 8)
-                near = np.repeat(x.place[part] < BEGIN, 8)
-                slots *= 2
-                slots += bit
-                for k in range(len(BITS)):
-                    if k in (4, 5):
-                        np.add.at(flat, slots[k][near], each[near])
-                    else:
-                        np.add.at(flat, slots[k], each)
-        pack = zstandard.ZstdCompressor(3).compress
-        for seg in range(SLOTS // SEGMENT):
-            mine = n[seg * SEGMENT : (seg + 1) * SEGMENT].T
-            if mine.any():
-                used = np.flatnonzero(mine.any(0)).astype(np.uint16)
-                yield batch_of(_SEG, [[seg], [pack(len(used).to_bytes(4, "little") + used.tobytes() + np.ascontiguousarray(mine[:, used]).tobytes())]])
-        del n, flat
+        for _, rows in _groups(batches, "q"):
+            x = Lexicon(rows)
+            k = x.classes(least)
+            n = np.bincount(k, minlength=ENDING + 1)
+            listed = np.flatnonzero(k == LISTED)
+            yield batch_of(_STAT, [[*range(len(n)), -1, *[LISTED] * len(listed)], [*[None] * (len(n) + 1), *(x.words[i] for i in listed)], [*n, int((x.c > 0).sum()), *x.c[listed]]])
         give_back()
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Probability of a one (16 bits) and how often the slot was used (see Tables), of each segment."""
-        import zstandard
+    v, most, listed = 0, np.zeros(ENDING + 1, np.int64), []
+    for r in letters.mapInArrow(run, "k int, word string, n long").groupBy("k", "word").agg(F.max("n").alias("most"), F.sum("n").alias("sum")).collect():
+        if r["word"] is not None:
+            listed.append((-r["sum"], r["word"]))
+        elif r["k"] < 0:
+            v = r["sum"]
+        else:
+            most[r["k"]] = r["most"]
+    return v, most, [w for _, w in sorted(listed)]
+
+
+class Codes:
+    """How many bits say which word of a class it is."""
+
+    def __init__(self, most: np.ndarray, listed: list[str], log_q: int):
+        self.most, self.at = np.maximum(most, 1), {w: i for i, w in enumerate(listed)}
+        self.bits = np.array([min(INDEX, max(1, math.ceil(math.log2(m)) + log_q)) for m in self.most])
+        self.bits[LISTED] = max(1, math.ceil(math.log2(max(2, len(listed)))))
+        self.bits[[OTHER, ENDING]] = 0
+
+    def of(self, q: int, x: Lexicon, k: np.ndarray) -> np.ndarray:
+        """Class, and number within it, of each word; those of another word tell such words apart, but are not a code."""
+        code = k << INDEX
+        for c in np.unique(k):
+            mine = np.flatnonzero(k == c)
+            if c == LISTED:
+                code[mine] |= np.array([self.at[x.words[i]] for i in mine], np.int64) << (INDEX - self.bits[c])
+            elif c == OTHER:
+                code[mine] |= (q << 24) + np.arange(len(mine))
+            elif c != ENDING:
+                code[mine] |= (q * self.most[c] + np.arange(len(mine))) << (INDEX - self.bits[c])
+        return code
+
+
+def _spell_tables(letters: DataFrame, n_tasks: int) -> list[tuple[int, bytes]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = Counter(sum(1 << b for b in SPELL_BITS))
+        for _, rows in _groups(batches, "q"):
+            x = Lexicon(rows)
+            words = [w for w, c in zip(x.words, x.c) if c > 0 and w != END]
+            for some, _, _ in _some(words, np.ones(len(words), bool)):
+                for _, slots, bit in Spelled(some).parts():
+                    for s in slots:
+                        n.add(s, bit)
+        for seg, data in n.segments():
+            yield batch_of(_SEG, [[seg], [data]])
+        del n
+        give_back()
 
-        unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(9).compress
-        now, n = None, np.zeros((2, SEGMENT))
+    return _merged(letters.coalesce(n_tasks).mapInArrow(run, _SEG_DDL))
 
-        def done() -> pa.RecordBatch:
-            total = n.sum(0)
-            p = np.round(n[1] / np.maximum(total, 1) * 65535).astype(np.uint16)
-            q = np.where(total < 128, total, np.minimum(255, np.round(128 + 6 * np.log2(np.maximum(total, 1) / 128)))).astype(np.uint8)
-            return batch_of(_SEG, [[now], [pack(p.tobytes() + q.tobytes())]])
 
-        for b in batches:
-            for seg, data in zip(*(c.to_pylist() for c in b.columns)):
-                if seg != now:
-                    if now is not None:
-                        yield done()
-                    now, n = seg, np.zeros((2, SEGMENT))
-                raw = unpack(data)
-                k = int.from_bytes(raw[:4], "little")
-                used = np.frombuffer(raw, np.uint16, k, 4)
-                n[:, used] += np.frombuffer(raw, np.float32, 2 * k, 4 + 2 * k).reshape(2, k)
-        if now is not None:
-            yield done()
+def _spell_mixer(letters: DataFrame, tables, n_tasks: int) -> Mixer:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, mixer = Table(SPELL_BITS, tables.value), Mixer(SPELL_GATES, len(SPELL_BITS))
+        for _, rows in _groups(batches, "q"):
+            x = Lexicon(rows)
+            words = [w for w, c in zip(x.words, x.c) if c > 0 and w != END]
+            for some, own, _ in _some(words, np.ones(len(words), bool)):
+                for _, inputs, gate in Spelled(some).inputs(t, own):
+                    mixer.learn(inputs, gate)
+        yield _sum_rows(mixer.sums())
+        del t
+        give_back()
 
-    ddl = "seg int, data binary"
-    return words.mapInArrow(run, ddl).repartition("seg").sortWithinPartitions("seg").mapInArrow(merge, ddl)
+    size = Mixer(SPELL_GATES, len(SPELL_BITS)).sums().size
+    return Mixer(SPELL_GATES, len(SPELL_BITS), _summed(letters.coalesce(n_tasks).mapInArrow(run, "i int, v double"), size))
 
 
-class Tables:
-    """What the slots say, from the packed segments."""
+_ANSWER = pa.schema([("block", pa.int64()), ("q", pa.int32()), ("data", pa.binary())])
+_ANSWER_DDL = "block long, q int, data binary"
 
-    def __init__(self, segments: list[tuple[int, bytes]]):
-        import zstandard
 
-        unpack = zstandard.ZstdDecompressor().decompress
-        self.p, self.q = np.zeros(SLOTS, np.uint16), np.zeros(SLOTS, np.uint8)
-        for seg, data in segments:
-            raw, at = unpack(data), slice(seg * SEGMENT, (seg + 1) * SEGMENT)
-            self.p[at] = np.frombuffer(raw, np.uint16, SEGMENT)
-            self.q[at] = np.frombuffer(raw, np.uint8, SEGMENT, 2 * SEGMENT)
-        k = np.arange(256)
-        self.times = np.where(k < 128, k, 128 * 2.0 ** ((k - 128) / 6)).astype(np.float32)
-        self.x: np.ndarray | None = None
-
-    def plain(self, slots: np.ndarray, first: np.ndarray, begun: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """As inputs, with all counts as they are: the log-odds are a table too."""
-        if self.x is None:
-            self.x = np.empty(SLOTS, np.float16)
-            for lo in range(0, SLOTS, 1 << 20):
-                at = slice(lo, lo + (1 << 20))
-                n = self.times[self.q[at]]
-                ones = self.p[at].astype(np.float32) * (n / np.float32(65535))
-                self.x[at] = np.log((ones + np.float32(0.4)) / (np.maximum(n - ones, 0) + np.float32(0.4)))
-        x, longest = self.x[slots].astype(np.float32), self.times[self.q[slots[5]]]
-        if begun is not None:
-            far, n, ones = begun
-            x[4:6] = np.where(far, np.log((ones + np.float32(0.4)) / (np.maximum(n - ones, 0) + np.float32(0.4))), x[4:6])
-            longest = np.where(far, n[1], longest)
-        return x, self._gate(longest, self.times[self.q[slots[3]]], first)
-
-    @staticmethod
-    def _gate(longest: np.ndarray, four: np.ndarray, first: np.ndarray) -> np.ndarray:
-        return np.searchsorted(np.array([1, 4, 16, 256], np.float32), longest, "right") * 6 + np.searchsorted(np.array([1, 16], np.float32), four, "right") * 2 + first
-
-    def inputs(self, slots: np.ndarray, first: np.ndarray, bit: np.ndarray | None = None, begun: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Log-odds of each context (7, bits) and the gate of each bit. bit: leaves one such event out of the counts. begun: see Beginnings.part."""
-        q = self.q[slots]
-        n = self.times[q]
-        ones = self.p[slots].astype(np.float32) * (n / np.float32(65535))
-        if begun is not None:
-            n[4:6], ones[4:6] = np.where(begun[0], begun[1], n[4:6]), np.where(begun[0], begun[2], ones[4:6])
-        if bit is not None:
-            take = n > 0
-            n = np.where(take, np.maximum(n - 1, 0), n)
-            ones = np.clip(np.where(take, ones - bit, ones), 0, n)
-        x = np.log((ones + np.float32(0.4)) / (np.maximum(n - ones, 0) + np.float32(0.4)))
-        return x, self._gate(n[5], n[3], first)
+def _word_answers(letters: DataFrame, codes: Codes, least: float, tables, mixer: Mixer) -> DataFrame:
+    """To each block: counts, codes and prices of its words, in order."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = Table(SPELL_BITS, tables.value)
+        for q, rows in _groups(batches, "q"):
+            x = Lexicon(rows)
+            k = x.classes(least)
+            code, price = codes.of(q, x, k), np.zeros(len(k), np.float32)
+            rare = np.flatnonzero(k == OTHER)
+            for some, own, at in _some([x.words[i] for i in rare], x.c[rare] > 0):
+                price[rare[at]] = Spelled(some).price(t, mixer, own)
+            for block, at in x.letters:
+                yield batch_of(_ANSWER, [[block], [q], [len(at).to_bytes(4, "little") + _pack(x.c[at], code[at], price[at])]])
+        del t
+        give_back()
 
-def bucket(z: np.ndarray) -> np.ndarray:
-    return np.clip((z + 8) * (BUCKETS / 16), 0, BUCKETS - 1).astype(np.int64)
+    return letters.mapInArrow(run, _ANSWER_DDL)
+
+
+# Texts as codes --------------------------------------------------------------------------------------------------
+
+
+class Rules:
+    """What tasks need to know of the whole corpus."""
+
+    def __init__(self, n: int, v: int, bits: np.ndarray, context_bits: int):
+        self.n, self.v, self.bits, self.context_bits = n, v, bits, context_bits
+
+
+class Words:
+    """Counts, codes and prices of a block's words, from the answers."""
+
+    def __init__(self, answers: list[dict]):
+        got = {}
+        for r in answers:
+            got.setdefault(r["q"], r["data"])
+        raw = []
+        for q in sorted(got):
+            n = int.from_bytes(got[q][:4], "little")
+            raw.append(_unpack(got[q][4:], (np.int64, n), (np.int64, n), (np.float32, n)))
+        self.c, self.code, self.price = (np.concatenate(x) for x in zip(*raw))
+
+
+class Texts:
+    """Tokens of a block with codes and contexts."""
+
+    def __init__(self, row: dict, words: Words, rules: Rules):
+        self.words, self.rules = words, rules
+        self.lens, self.held, self.tok = (_unpack(row[c], (kind, None))[0] for c, kind in (("lens", np.int32), ("held", np.uint8), ("codes", np.int32)))
+        self.first = np.cumsum(self.lens, dtype=np.int64) - self.lens
+        n, start = len(self.tok), len(words.c)
+        ident = np.append(words.code, 1 << 60).astype(_U)
+        kind = words.code >> INDEX
+        self.target = np.where(kind == OTHER, 0, words.code)
+        self.bits = CLASS + rules.bits[kind]
+        self.before = np.empty(n, np.int32)
+        self.before[1:] = self.tok[:-1]
+        self.before[self.first] = start
+        second = np.empty(n, np.int32)
+        second[1:] = self.before[:-1]
+        second[self.first] = start
+        common = np.append(words.c * COMMON >= max(rules.n, 1), True)
+        self.keyed = ~(common[self.before] & common[second])
+        two = _mixed(_mixed(ident)[second] * _U(0x9E3779B97F4A7C15) + ident[self.before])
+        self.context = two >> _U(64 - rules.context_bits)
+        del two, second
+        often = words.c * OFTEN >= max(rules.n, 1)
+        self.one = _mixed(np.append(np.where(often & (words.c > 1), ident[:-1], kind.astype(_U) + _U(1)), ident[-1]) + _U(1 << 61))
+        self.two = self._common(common[:-1], _mixed(ident))
+
+    def _common(self, common: np.ndarray, ident: np.ndarray) -> np.ndarray:
+        """Of each token, a hash of the last two common words before it in its text."""
+        n = len(self.tok)
+        first = np.repeat(self.first, self.lens)
+        last = np.maximum.accumulate(np.where(common[self.tok], np.arange(n), -1))
+        last = np.concatenate([[-1], last[:-1]])
+        last[last < first] = -1
+        one = np.where(last >= 0, ident[self.tok[last]], ident[-1])
+        far = np.where(last >= 0, last[last], -1)
+        return _mixed(one * _U(3) + np.where(far >= 0, ident[self.tok[far]], ident[-1]))
+
+    def pairs(self) -> None:
+        """The different pairs of a context and a code, in order, and which pair each token of `keyed` is."""
+        at = np.flatnonzero(self.keyed)
+        code = self.target[self.tok[at]]
+        context = self.context[at]
+        order = np.lexsort((code, context))
+        context, code = context[order], code[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (context[1:] != context[:-1]) | (code[1:] != code[:-1])
+        number = np.cumsum(new) - 1
+        self.pair = np.full(len(self.tok), -1, np.int32)
+        self.pair[at[order]] = number
+        learned = np.repeat(self.held == 0, self.lens)[at[order]]
+        self.pair_context, self.pair_code = context[new], code[new]
+        self.pair_count = np.bincount(number, learned, int(new.sum())).astype(np.int64)
+
+    def slices(self) -> Iterator[slice]:
+        """Tokens whose codes have about PART bits."""
+        ends = np.cumsum(self.bits[self.tok])
+        at = 0
+        while at < len(self.tok):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART, "right")))
+            yield slice(at, to)
+            at = to
+
+    def spread(self, part: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each bit: its token, its place in the code, the bit, and a hash of place and bits before."""
+        tok = self.tok[part]
+        bits = self.bits[tok]
+        j = ragged(np.zeros(len(tok)), bits)
+        of = np.repeat(np.arange(part.start, part.stop), bits)
+        code = np.repeat(self.target[tok], bits)
+        shift = CLASS + INDEX - j
+        return of, j, code >> (shift - 1) & 1, _mixed(((code >> shift) << 6 | j).astype(_U))
+
+    def dense(self, of: np.ndarray, j: np.ndarray, node: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Of each dense context: its number, which bits it counts, and their slots."""
+        for k, depth in enumerate(DENSE_DEPTH):
+            at = np.flatnonzero(j < depth)
+            context = _U(0) if k == 0 else self.one[self.before[of[at]]] if k == 1 else self.two[of[at]]
+            yield k, at, slots_of(DENSE_BITS, k, context, node[at])
+
+
+def _coded(batches: Iterator[pa.RecordBatch], rules: Rules) -> Iterator[tuple[int, Texts]]:
+    for block, rows in _groups(batches, "block"):
+        words = Words([r for r in rows if r["kind"] == 1])
+        for r in rows:
+            if r["kind"] == 0:  # blocks that share a number are equal
+                yield block, Texts(r, words, rules)
+
+
+def _dense_tables(coded: DataFrame, rules: Rules, n_tasks: int) -> list[tuple[int, bytes]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = Counter(sum(1 << b for b in DENSE_BITS))
+        for _, x in _coded(batches, rules):
+            learned = np.repeat(x.held == 0, x.lens)
+            for part in x.slices():
+                of, j, bit, node = x.spread(part)
+                mine = learned[of]
+                of, j, bit, node = of[mine], j[mine], bit[mine], node[mine]
+                for _, at, slots in x.dense(of, j, node):
+                    n.add(slots, bit[at])
+        for seg, data in n.segments():
+            yield batch_of(_SEG, [[seg], [data]])
+        del n
+        give_back()
 
+    return _merged(coded.coalesce(n_tasks).mapInArrow(run, _SEG_DDL))
 
-def _weighed(w: np.ndarray, gate: np.ndarray, inputs: np.ndarray) -> np.ndarray:
-    z = np.zeros(len(gate), np.float32)
-    for k in range(len(BITS)):
-        z += w[:, k].astype(np.float32)[gate] * inputs[k]
-    return z
 
+# What follows two words ------------------------------------------------------------------------------------------
 
-def _train_mixer(words: DataFrame, tables) -> DataFrame:
-    """Sums (i, v) over tasks: weights by their task's share, the shares, and the counts of the refining table."""
 
+def _pair_letters(coded: DataFrame, rules: Rules, log_q: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Tables(tables.value)
-        w = np.full((GATES, len(BITS)), 0.25)
-        seen, refine, step = np.zeros(GATES), np.zeros((GATES, BUCKETS, 2)), 0
-        for some, counts, _ in _by_beginning(batches):
-            at, lang = np.nonzero(counts)
-            if not len(at):
-                continue
-            x = Spelled([some[i] for i in at], lang)
-            weight = counts[at, lang].astype(np.float64)
-            ctx = x.contexts()
-            begun = Beginnings(x, ctx, weight)
-            for part in parts(len(x.data)):
-                slots, bit = x.bits(part, ctx)
-                word = np.repeat(x.word[part], 8)
-                inputs, gate = t.inputs(slots, np.repeat(x.place[part] == 0, 8), bit, begun.part(part))
-                z = _weighed(w, gate, inputs)
-                p = 1 / (1 + np.exp(-np.clip(z, -20, 20)))
-                e = weight[word]
-                mass = np.bincount(gate, e, GATES)
-                rate = 0.3 / np.sqrt(1 + step / 8)
-                for k in range(len(BITS)):
-                    push = np.bincount(gate, e * (bit - p) * inputs[k], GATES)
-                    curve = np.bincount(gate, e * p * (1 - p) * inputs[k] ** 2, GATES)
-                    w[:, k] += rate * np.clip(push / (curve + 0.02 * mass + 1e-9), -1, 1)
-                seen += mass
-                np.add.at(refine, (gate, bucket(z), bit), e)
-                step += 1
-        values = np.concatenate([(w * seen[:, None]).ravel(), seen, refine.ravel()])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values)), pa.int32()), pa.array(values)], ["i", "v"])
-        del t
+        for block, x in _coded(batches, rules):
+            x.pairs()
+            cut = np.searchsorted(x.pair_context >> _U(rules.context_bits - log_q), np.arange((1 << log_q) + 1, dtype=_U))
+            some = [(q, slice(lo, hi)) for q, (lo, hi) in enumerate(zip(cut[:-1], cut[1:])) if hi > lo]
+            for at in range(0, len(some), 64):
+                mine = some[at : at + 64]
+                yield batch_of(_LETTER, [[q for q, _ in mine], [block] * len(mine), [_pack(np.diff(x.pair_context[s], prepend=_U(0)), x.pair_code[s]) for _, s in mine], [_pack(x.pair_count[s]) for _, s in mine]])
+            del x
         give_back()
 
-    return words.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
+    return _letters(coded, run, log_q)
 
 
-class Mixer:
-    def __init__(self, values: dict[int, float]):
-        k = GATES * len(BITS)
-        v = np.zeros(k + GATES + GATES * BUCKETS * 2)
-        for i, x in values.items():
-            v[i] = x
-        seen = v[k : k + GATES, None]
-        w = v[:k].reshape(GATES, -1)
-        self.w = np.where(seen > 0, w / np.maximum(seen, 1e-9), 0.25)
-        refine = v[k + GATES :].reshape(GATES, BUCKETS, 2)
-        middle = 1 / (1 + np.exp(-((np.arange(BUCKETS) + 0.5) * (16 / BUCKETS) - 8)))
-        self.refine = (refine[:, :, 1] + 50 * middle) / (refine.sum(2) + 50)
-
-    def cost(self, tables: Tables, x: Spelled, weight: np.ndarray | None = None) -> np.ndarray:
-        """Of each word, log10 of its probability. weight: how often it was seen; without, the tables count all beginnings."""
-        out, ctx = np.zeros(len(x.lens)), x.contexts()
-        begun = None if weight is None else Beginnings(x, ctx, weight)
-        for part in parts(len(x.data)):
-            slots, bit = x.bits(part, ctx)
-            inputs, gate = tables.plain(slots, np.repeat(x.place[part] == 0, 8), begun and begun.part(part))
-            z = _weighed(self.w, gate, inputs)
-            p = (1 / (1 + np.exp(-np.clip(z, -20, 20))) + self.refine[gate, bucket(z)]) / 2
-            p = np.clip(np.where(bit == 1, p, 1 - p), 2.0**-16, 1 - 2.0**-16)
-            out += np.bincount(np.repeat(x.word[part], 8), np.log10(p), len(out))
-        return out
+def quantised(n: np.ndarray) -> np.ndarray:
+    """Counts in a byte: exact up to 32, then four steps an octave."""
+    return np.where(n <= 32, n, np.minimum(255, 32 + np.round(4 * np.log2(np.maximum(n, 1) / 32)))).astype(np.uint8)
 
 
-_COST = pa.schema([("word", pa.string()), ("c", pa.int64()), ("cost", pa.binary())])
+#: What the bytes of quantised stand for.
+COUNTS = np.where(np.arange(256) <= 32, np.arange(256), 32 * 2.0 ** ((np.arange(256) - 32) / 4)).astype(np.float32)
 
 
-def _costs(words: DataFrame, tables, mixer: Mixer) -> DataFrame:
-    """word, c and its cost after each language (32-bit floats)."""
+def followed(context: np.ndarray, code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each pair (sorted, different): how often the context was seen, with the code's first bit, its first two, ...
 
+    Bytes (see quantised) of all pairs one after the other, and how many each has: up to where
+    only this code is left, as the counts stay the same from there on.
+    """
+    lens, levels, live = np.ones(len(code), np.int64), [], np.arange(len(code))
+    j = 0
+    while len(live):
+        c, top = context[live], code[live] >> (CLASS + INDEX - j)
+        new = np.ones(len(live), bool)
+        new[1:] = (c[1:] != c[:-1]) | (top[1:] != top[:-1])
+        start, mine = np.flatnonzero(new), np.cumsum(new) - 1
+        levels.append((live, quantised(np.add.reduceat(count[live], start))[mine]))
+        more = np.diff(start, append=len(live))[mine] > 1
+        live, j = live[more], j + 1
+        lens[live] = j + 1
+    flat, first = np.zeros(int(lens.sum()), np.uint8), np.cumsum(lens) - lens
+    for j, (at, n) in enumerate(levels):
+        flat[first[at] + j] = n
+    return flat, lens
+
+
+def _pair_answers(letters: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Tables(tables.value)
-        for some, counts, mask in _by_beginning(batches):
-            at, lang = np.nonzero(mask[:, None] >> np.arange(LANGUAGES) & 1)
-            cost = np.zeros((len(some), LANGUAGES), "<f4")
-            cost[at, lang] = mixer.cost(t, Spelled([some[i] for i in at], lang), counts[at, lang])
-            yield batch_of(_COST, [some, counts.sum(1), [r.tobytes() for r in cost]])
-        del t
+        for q, rows in _groups(batches, "q"):
+            counts = [_unpack(r["counts"], (np.int64, None))[0] for r in rows]
+            pairs = [_unpack(r["data"], (_U, len(n)), (np.int64, len(n))) for r, n in zip(rows, counts)]
+            context, code = np.concatenate([np.cumsum(c, dtype=_U) for c, _ in pairs]), np.concatenate([c for _, c in pairs])
+            del pairs
+            order = np.lexsort((code, context))
+            context, code = context[order], code[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (context[1:] != context[:-1]) | (code[1:] != code[:-1])
+            at = np.empty(len(order), np.int64)
+            at[order] = np.cumsum(new) - 1
+            total = np.bincount(at, np.concatenate(counts), int(new.sum())).astype(np.int64)
+            flat, lens = followed(context[new], code[new], total)
+            del order, context, code
+            first = np.cumsum(lens) - lens
+            lo = 0
+            for r, n in zip(rows, counts):
+                mine = at[lo : lo + len(n)]
+                lo += len(n)
+                yield batch_of(_ANSWER, [[r["block"]], [q], [len(n).to_bytes(4, "little") + _pack(lens[mine].astype(np.uint8), flat[ragged(first[mine], lens[mine])])]])
         give_back()
 
-    return words.mapInArrow(run, "word string, c long, cost binary")
+    return letters.mapInArrow(run, _ANSWER_DDL)
+
+
+class Scored:
+    """Texts with the answers on pairs: inputs and gates of all bits."""
+
+    def __init__(self, x: Texts, answers: dict[int, bytes], table: Table):
+        self.x, self.table = x, table
+        x.pairs()
+        raw = [_unpack(answers[q][4:], (np.uint8, int.from_bytes(answers[q][:4], "little")), (np.uint8, None)) for q in sorted(answers)]
+        self.lens = np.concatenate([np.zeros(0, np.uint8), *(n for n, _ in raw)]).astype(np.int64)
+        self.flat = np.concatenate([np.zeros(0, np.uint8), *(f for _, f in raw), np.zeros(1, np.uint8)])
+        self.at = np.cumsum(self.lens) - self.lens
+        self.own = np.repeat(x.held == 0, x.lens)
+        self.run = self._run()
+
+    def _run(self) -> np.ndarray:
+        """For how many words (3 at most) the two words before have told the next one, up to each token."""
+        x = self.x
+        n = len(x.tok)
+        pair = np.maximum(x.pair, 0)
+        last = self.flat[self.at[pair] + self.lens[pair] - 1] if len(self.lens) else np.zeros(n, np.uint8)
+        told = x.keyed & (last > self.own)
+        place = np.maximum.accumulate(np.where(x.keyed, np.arange(n), -1))  # words after two common ones change nothing
+        told = np.where(place >= 0, told[place], False)
+        far = np.arange(n) - np.repeat(x.first, x.lens)
+        run, still = np.zeros(n, np.int8), np.ones(n, bool)
+        for back in (1, 2, 3):
+            before = np.zeros(n, bool)
+            before[back:] = told[:-back]
+            still &= before & (far >= back)
+            run += still
+        return run
+
+    def inputs(self) -> Iterator[tuple[slice, np.ndarray, list[np.ndarray], np.ndarray]]:
+        x = self.x
+        for part in x.slices():
+            of, j, bit, node = x.spread(part)
+            own = self.own[of].astype(np.float32)
+            out = []
+            for _, at, slots in x.dense(of, j, node):
+                a = np.zeros(len(of), np.float32)
+                a[at] = self.table.agree(slots, bit[at], own[at])[0]
+                out.append(a)
+            pair = x.pair[of]
+            n, same = np.zeros(len(of), np.float32), np.zeros(len(of), np.float32)
+            has = np.flatnonzero(pair >= 0)
+            first, most, jj = self.at[pair[has]], self.lens[pair[has]] - 1, j[has]
+            n[has] = COUNTS[self.flat[first + np.minimum(jj, most)]]
+            same[has] = COUNTS[self.flat[first + np.minimum(jj + 1, most)]]
+            a, n = odds(n, same, own)
+            a[n == 0] = 0
+            out.append(a)
+            level = np.searchsorted(np.array([1, 2, 4, 16], np.float32), n, "right")
+            yield part, of, out, (self.run[of].astype(np.int64) * 5 + level) * 2 + (j >= CLASS)
+
+
+_INPUTS = len(DENSE_BITS) + 1
+
+
+def _answered(left: pa.Table, right: pa.Table, rules: Rules, table: Table) -> Iterator[tuple[dict, Scored]]:
+    rows = left.to_pylist()
+    words = Words([r for r in rows if r["kind"] == 1])
+    answers = {}
+    for q, data in zip(right["q"].to_pylist(), right["data"].to_pylist()):
+        answers.setdefault(q, data)
+    for r in rows:
+        if r["kind"] == 0:
+            yield r, Scored(Texts(r, words, rules), answers, table)
 
 
-_PRICES = pa.schema([("of_block", pa.int64()), ("at", pa.binary()), ("c", pa.binary()), ("cost", pa.binary())])
+def held_out(id_col: str):
+    """crc32 of the id as text, modulo 7, is 2."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def _packed(priced: DataFrame) -> DataFrame:
-    """of_block, at, c and cost, many rows of a block in one: half of what they take one by one."""
+_OUT_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple] = []
 
-        def pack() -> pa.RecordBatch:
-            block, at, c, cost = (np.concatenate(x) for x in zip(*waiting))
-            waiting.clear()
-            order = np.argsort(block, kind="stable")
-            block, at, c, cost = block[order], at[order], c[order], cost[order]
-            cut = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]])
-            return batch_of(_PRICES, [block[cut[:-1]], *([x[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])] for x in (at, c, cost))])
+class Sent:
+    """The dense table as it is broadcast; a worker unpacks it once."""
 
-        for b in batches:
-            if b.num_rows:
-                waiting.append((col_of(b, "of_block").to_numpy(), col_of(b, "at").to_numpy(), col_of(b, "c").to_numpy(), string_buffers(col_of(b, "cost"))[0].reshape(b.num_rows, -1)))
-                if sum(len(w[0]) for w in waiting) > 200_000:
-                    yield pack()
-        if waiting:
-            yield pack()
+    def __init__(self, segments: list[tuple[int, bytes]]):
+        self.segments, self.table = segments, None
 
-    return priced.mapInArrow(run, "of_block long, at binary, c binary, cost binary")
+    def unpacked(self) -> Table:
+        if self.table is None:
+            self.table = Table(DENSE_BITS, self.segments)
+        return self.table
 
 
-def held_out(id_col: str):
-    """crc32 of the id as text, modulo 7, is 2."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 7 == 2, F.lit(False))
+def _mixer(coded: DataFrame, answers: DataFrame, rules: Rules, sent) -> Mixer:
+    def learn(left: pa.Table, right: pa.Table) -> pa.Table:
+        mixer = Mixer(GATES, _INPUTS)
+        for _, s in _answered(left, right, rules, sent.value.unpacked()):
+            for _, of, inputs, gate in s.inputs():
+                mine = s.own[of]
+                mixer.learn([a[mine] for a in inputs], gate[mine])
+        give_back()
+        return pa.Table.from_batches([_sum_rows(mixer.sums())])
+
+    sums = coded.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(learn, "i int, v double")
+    return Mixer(GATES, _INPUTS, _summed(sums, Mixer(GATES, _INPUTS).sums().size))
+
+
+def _scores(coded: DataFrame, answers: DataFrame, rules: Rules, sent, mixer: Mixer) -> DataFrame:
+    def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
+        tables = []
+        for r, s in _answered(left, right, rules, sent.value.unpacked()):
+            x = s.x
+            cost = x.words.price[x.tok].astype(np.float64)
+            for part, of, inputs, gate in s.inputs():
+                cost[part] += np.bincount(of - part.start, mixer.log10(inputs, gate), part.stop - part.start)
+            c = x.words.c
+            base = np.add.reduceat(np.log10(c + 1.0)[x.tok], x.first) - x.lens * math.log10(rules.n + rules.v + 1)
+            known = np.add.reduceat((c > 0).astype(np.int64)[x.tok], x.first)
+            tables.append(pa.table([pa.array(r["doc_id"], pa.int64()), pa.array(x.held > 0), x.lens.astype(np.int64), known, np.full(len(x.lens), rules.n), base, np.add.reduceat(cost, x.first)], schema=_OUT))
+        give_back()
+        return pa.concat_tables(tables) if tables else _OUT.empty_table()
+
+    return coded.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(add_up, _OUT_DDL)
+
+
+def _log2(n: float, least: int) -> int:
+    return max(least, math.ceil(math.log2(max(n, 1))))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -548,36 +898,30 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held"), F.coalesce(text_col, F.lit("")).alias("text"))
+    parts = max(2 * rows.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
     blocks = kept(_blocks(rows))
-    local = _local_words(blocks)
-    sums = [F.sum(c).alias(c) for c in _COUNTS]
-    begun = local.withColumn("begin", F.substring(F.col("word").cast("binary"), 1, BEGIN)).repartition("begin")
-    words = kept(begun.groupBy("begin", "word").agg(*sums, F.bit_or("mask").alias("mask")).sortWithinPartitions("begin").drop("begin"))
-    count = sum(F.col(c) for c in _COUNTS)
-    total = words.agg(F.sum(count).alias("n"), F.count(F.when(count > 0, 1)).alias("v")).first()
-    n, v = total["n"] or 0, total["v"] or 0
-    tables = spark.sparkContext.broadcast([(r["seg"], bytes(r["data"])) for r in _count_bits(few(words, 1)).collect()])
-    mixer = Mixer({r["i"]: r["v"] for r in _train_mixer(words, tables).collect()})
-    costs = _costs(words, tables, mixer)
-    # Words are joined by a 64-bit hash: two of a billion different words share one with probability 0.03.
-    keyed = local.select(F.col("block").alias("of_block"), "at", F.xxhash64("word").alias("key"))
-    priced = keyed.join(costs.select(F.xxhash64("word").alias("key"), "c", "cost"), "key").select("of_block", "at", "c", "cost")
-    out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-
-    def add_up(block: pa.Table, prices: pa.Table) -> pa.Table:
-        at, count, price = (np.frombuffer(b"".join(prices[k].to_pylist()), t) for k, t in (("at", np.int32), ("c", np.int64), ("cost", "<f4")))
-        c, cost = np.zeros(len(at)), np.zeros((len(at), LANGUAGES))
-        c[at], cost[at] = count, price.reshape(len(at), LANGUAGES)
-        import zstandard
-
-        unpack, tables = zstandard.ZstdDecompressor().decompress, []
-        for i in range(block.num_rows):  # equal blocks may share a number, and then have the same prices
-            held, lens, codes, lang = (np.frombuffer(unpack(block[k][i].as_py()), t) for k, t in (("held", np.uint8), ("lens", "<i4"), ("codes", "<i4"), ("lang", np.uint8)))
-            begin = np.cumsum(lens) - lens
-            base = np.add.reduceat(np.log10(c + 1)[codes], begin) - lens * np.log10(float(n + v + 1))
-            known = np.add.reduceat((c > 0)[codes].astype(np.int64), begin)
-            tables.append(pa.table([block["doc_id"][i].values, pa.array(held > 0), lens.astype(np.int64), known, np.full(len(lens), n), base, np.add.reduceat(cost[codes, lang], begin)], schema=out))
-        give_back()
-        return pa.concat_tables(tables) if tables else out.empty_table()
-
-    return blocks.select("block", "doc_id", "held", "lens", "codes", "lang").groupBy("block").cogroup(_packed(priced).groupBy("of_block")).applyInArrow(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    total = blocks.agg(*(F.sum(c).alias(c) for c in ("n_words", "n_tokens", "n_train", "n_bytes"))).first()
+    if not total["n_tokens"]:
+        return spark.createDataFrame([], _OUT_DDL)
+    n, cores = total["n_train"], spark.sparkContext.defaultParallelism
+    counting = max(cores, total["n_bytes"] // COUNTED_BYTES)
+    log_q, log_pairs = _log2(total["n_words"] / WORDS_AT_ONCE, _log2(cores, 1)), _log2(total["n_tokens"] / PAIRS_AT_ONCE, _log2(cores, 1))
+
+    letters, least = _word_letters(blocks, log_q), n / OFTEN
+    v, most, listed = _stats(letters, least)
+    codes = Codes(most, listed, log_q)
+    rules = Rules(n, v, codes.bits, min(62, _log2(total["n_tokens"], 1) + 10))
+    spelling = spark.sparkContext.broadcast(_spell_tables(letters, counting))
+    answers = _word_answers(letters, codes, least, spelling, _spell_mixer(letters, spelling, counting))
+    static = blocks.select("block", F.lit(0).alias("kind"), F.lit(0).alias("q"), "doc_id", "held", "lens", "codes", F.lit(None).cast("binary").alias("data"))
+    coded = static.unionByName(answers.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    coded = kept(coded.repartition(parts, "block").sortWithinPartitions("block", "kind", "q"))
+    sent = spark.sparkContext.broadcast(Sent(_dense_tables(coded, rules, counting)))
+    blocks.unpersist()
+    letters.unpersist()
+
+    pairs = _pair_letters(coded, rules, log_pairs)
+    told = kept(_pair_answers(pairs).repartition(parts, "block"))
+    mixer = _mixer(coded, told, rules, sent)
+    pairs.unpersist()
+    return _scores(coded, told, rules, sent, mixer)
