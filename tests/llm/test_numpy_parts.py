@@ -152,7 +152,7 @@ def test_ogg_checks():
 def test_packing_keeps_limits_and_ids():
     rng = np.random.default_rng(2)
     lim = packing.Limits(64, 6, 40)
-    p = packing.Packer(lim, 0, pool=50)
+    p = packing.Packer(lim, pool=50)
     docs = {i: rng.integers(0, 999, rng.integers(1, 200)).astype(np.uint32) for i in range(300)}
     for i, ids in docs.items():
         p.add(i, ids, int(rng.integers(0, len(ids) + 1)))
@@ -161,10 +161,13 @@ def test_packing_keeps_limits_and_ids():
     for i, ids in docs.items():
         mine = sorted((r for r in rows if r[0] == i), key=lambda r: r[1])
         assert np.concatenate([r[3] for r in mine]).tolist() == ids.tolist()
-    by: dict = {}
+    sequences: list = []
     for r in rows:
-        by.setdefault(r[5], []).append(r)
-    for seq in by.values():
+        if r[5] == 0:
+            sequences.append([])
+        sequences[-1].append(r)
+    for seq in sequences:
+        assert [r[5] for r in seq] == list(range(len(seq)))
         assert sum(r[2] for r in seq) <= 64 and len(seq) <= 6 and sum(r[7] for r in seq) <= 40
         assert [r[6] for r in seq] == np.cumsum([0, *(r[2] for r in seq)])[:-1].tolist()
 
@@ -200,63 +203,37 @@ def test_store_parts():
 
 
 def test_bit_predictors_sum_to_one():
-    """Over all next bytes, the probabilities of a spelling add up to one."""
-    t = mixture.Tables([])
+    """Both bits of an event have probabilities that add up to one, whatever the counts, weights and refining table."""
     rng = np.random.default_rng(0)
-    t.p[:], t.q[:] = rng.integers(0, 65536, mixture.SLOTS), rng.integers(0, 40, mixture.SLOTS)
-    mixer = mixture.Mixer({i: float(v) for i, v in enumerate(rng.normal(0.3, 0.2, mixture.GATES * 7))} | {mixture.GATES * 7 + g: 1.0 for g in range(mixture.GATES)})
-
-    class Raw(mixture.Spelled):
-        def __init__(self, raw):
-            self.lens = np.array([len(r) for r in raw])
-            self.data = np.frombuffer(b"".join(raw), np.uint8)
-            self.word = np.repeat(np.arange(len(raw)), self.lens)
-            self.place = np.arange(len(self.data)) - np.repeat(np.cumsum(self.lens) - self.lens, self.lens)
-            self.lang = np.ones(len(self.data), np.uint64)
-            self.prefix = np.array([hash(raw[w][:p]) % (1 << 63) for w, p in zip(self.word, self.place)], np.uint64)
-
-    base = Raw([b"ab"])
-    each = Raw([b"ab" + bytes([k]) for k in range(256)])
-    p = 10.0 ** (mixer.cost(t, each) - mixer.cost(t, base)[0])
-    assert p.sum() == pytest.approx(1, abs=1e-3)
-
-
-def test_bits_after_beginnings_are_counted_exactly():
+    t = mixture.Table((16,), [])
+    t.p[:], t.q[:] = rng.integers(0, 65536, len(t.p)), rng.integers(0, 60, len(t.q))
+    mixer = mixture.Mixer(3, 2)
+    for _ in range(5):
+        mixer.learn([rng.normal(0.5, 1, 1000).astype(np.float32) for _ in range(2)], rng.integers(0, 3, 1000))
+    mixer = mixture.Mixer(3, 2, mixer.sums())
+    slots, gate, zero = rng.integers(0, len(t.p), 5000), rng.integers(0, 3, 5000), np.zeros(5000, np.float32)
+    both = [[t.agree(slots[::k], np.full(5000, bit), zero)[0] for k in (1, -1)] for bit in (0, 1)]
+    assert 10 ** mixer.log10(both[0], gate) + 10 ** mixer.log10(both[1], gate) == pytest.approx(1, abs=1e-3)
+
+
+def test_what_follows_two_words_is_counted_exactly():
     rng = np.random.default_rng(5)
-    words = sorted({"".join(rng.choice(list("abé"), rng.integers(1, 9))) for _ in range(3000)}, key=lambda w: (w.encode()[: mixture.BEGIN], w[::-1]))
-    lang, weight = rng.integers(0, 3, len(words)), rng.integers(0, 4, len(words))
-    x = mixture.Spelled(words, lang)
-    got = mixture.Beginnings(x, x.contexts(), weight)
-    seen = {}
-    for i, w in enumerate(words):
-        raw = w.encode() + b" "
-        for p in range(len(raw)):
-            for key in ((raw[:p], None), (raw[:p], lang[i])):
-                for j in range(8):
-                    c = seen.setdefault((*key, raw[p] >> (8 - j), j), [0, 0])
-                    c[0] += weight[i]
-                    c[1] += weight[i] * (raw[p] >> (7 - j) & 1)
+    top = mixture.CLASS + mixture.INDEX
+    pairs = sorted({(int(c), int(k) << (top - 9)) for c, k in zip(rng.integers(0, 40, 500), rng.integers(0, 512, 500))})
+    context, code, count = (np.array(x) for x in zip(*[(c, k, int(rng.integers(0, 5))) for c, k in pairs]))
+    flat, lens = mixture.followed(context, code, count)
     at = 0
-    for i, w in enumerate(words):
-        raw = w.encode() + b" "
-        for p in range(len(raw)):
-            assert got.far[at] == (p >= mixture.BEGIN)
-            for k, key in enumerate(((raw[:p], None), (raw[:p], lang[i]))):
-                want = [seen[(*key, raw[p] >> (8 - j), j)] for j in range(8)] if p >= mixture.BEGIN else [[0, 0]] * 8
-                assert np.stack([got.n[k, at], got.ones[k, at]], 1).tolist() == want
-            at += 1
-
-
-def test_words_of_one_beginning_stay_together():
-    words = [f"{b}{i:06d}" for b, n in (("aaa", 3), ("bbb", 60_000), ("ccc", 1), ("ddd", 30_000), ("eee", 9)) for i in range(n)]
-    columns = [pa.array(words), *(pa.array(np.ones(len(words), np.int64)) for _ in range(mixture.LANGUAGES + 1))]
-    whole = pa.RecordBatch.from_arrays(columns, ["word", *mixture._COUNTS, "mask"])
-    got = [w for w, _, _ in mixture._by_beginning(whole.slice(i, 2000) for i in range(0, len(words), 2000))]
-    begun = [sorted({w[:3] for w in g}) for g in got]
-    assert [w for g in got for w in g] == words and len(got) > 1 and sum(map(len, begun)) == 5
-
-
-def test_running_language():
-    words = ["the", "xx", "der", "yy", "und", "zz"]
-    own = mixture.languages(pa.array(words))
-    assert mixture.running_language(own, np.array([3, 3])).tolist() == [0, 1, 1, 0, 0, 2]
+    for c, k, m in zip(context, code, lens):
+        mine = mixture.COUNTS[flat[at : at + m]].tolist()
+        at += m
+        want = [count[(context == c) & (code >> (top - j) == k >> (top - j))].sum() for j in range(top + 1)]
+        full = [*mine, *[mine[-1]] * (top + 1 - m)]
+        assert [int(x) for x in mixture.COUNTS[mixture.quantised(np.array(want))]] == [int(x) for x in full]
+    assert at == len(flat)
+
+
+def test_packed_arrays_come_back():
+    a, b = np.arange(-5, 300, dtype=np.int64), np.array([1.5, -2], np.float32)
+    got = mixture._unpack(mixture._pack(a, b), (np.int64, len(a)), (np.float32, None))
+    assert got[0].tolist() == a.tolist() and got[1].tolist() == b.tolist()
+    assert mixture._unpack(mixture._pack(a[:0]), (np.int64, None))[0].size == 0

@@ -137,7 +137,7 @@ def test_token_store(spark, docs, none):
         at += r["n_tokens"]
         want.append((r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist()))
     assert sorted(want, key=repr) == sorted([(i, ids_of(t)) for i, t, _ in ROWS], key=repr)
-    table = spark.read.parquet(path).where("kind = 0")
+    table = spark.read.parquet(path + "/packs").where("kind = 0")
     held, all_ = sum(sum(r["held"]) for r in table.select("held").collect()), sum(len(r["held"]) for r in table.select("held").collect())
     assert held < all_  # equal chunks are stored once
     assert store.read(spark, store.write(none)).count() == 0
@@ -145,33 +145,70 @@ def test_token_store(spark, docs, none):
 
 def test_token_store_finds_changes(spark, docs):
     path = store.write(docs.where("doc_id in (1, 8, 11)"))
-    rows = spark.read.parquet(path)
+    rows, manifest = spark.read.parquet(path + "/packs"), spark.read.parquet(path + "/manifest")
     broken = F.when(F.col("doc_id") == 8, F.concat(F.substring("data", 1, 500), F.lit(b"\x01"), F.expr("substring(data, 502)"))).otherwise(F.col("data"))
-    rows.withColumn("data", broken).write.parquet(path + "-broken")
-    with pytest.raises(Exception, match="changed"):
-        store.read(spark, path + "-broken").count()
-    rows.where("doc_id is null or doc_id <> 1").write.parquet(path + "-short")
-    with pytest.raises(Exception):
-        store.read(spark, path + "-short").count()
+    pack = manifest.where("n_docs > 0 and pack is not null").first()["pack"]
+    cases = {
+        "changed": (rows.withColumn("data", broken), manifest),
+        "short": (rows.where("doc_id is null or doc_id <> 1"), manifest),
+        "pack": (rows.where(F.col("pack") != pack), manifest),
+        "list": (rows, manifest.where(F.col("pack").isNull() | (F.col("pack") != pack))),
+        "root": (rows, manifest.withColumn("root", F.when(F.col("pack").isNull(), F.lit(b"0" * 32)).otherwise(F.col("root")))),
+    }
+    for name, (r, m) in cases.items():
+        r.write.parquet(f"{path}-{name}/packs")
+        m.write.parquet(f"{path}-{name}/manifest")
+        with pytest.raises(Exception, match="changed|manifest|follow"):
+            store.read(spark, f"{path}-{name}").count()
+    assert store.read(spark, path).count() == 3
 
 
 def test_packing(docs, none):
     enc = tokens.shared_encoder(tokens.tokenizer_path())
-    rows = packing.pack(docs.where("doc_id <> 7"), limits=packing.Limits(256, 8, 256)).collect()
-    by = {}
-    for r in rows:
-        by.setdefault(r["doc_id"], []).append(r)
+    ids_of = lambda t: [*enc.tok.encode(t or "", add_special_tokens=False).ids, 1]
+    rows = packing.pack(docs, limits=packing.Limits(256, 8, 256)).collect()
+    assert sorted((r["doc_id"] for r in rows if r["start"] == 0), key=repr) == sorted((i for i, _, _ in ROWS), key=repr)
     for i, t, _ in ROWS:
-        if i not in (7, None):
-            mine = sorted(by[i], key=lambda r: r["start"])
+        if i != 7:
+            mine = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["start"])
             ids = np.concatenate([np.frombuffer(r["ids"], "<u4") for r in mine]).tolist()
-            assert ids == [*enc.tok.encode(t or "", add_special_tokens=False).ids, 1] and {r["doc_tokens"] for r in mine} == {len(ids)}
-    fill = {}
-    for r in rows:
-        fill[r["sequence_id"]] = fill.get(r["sequence_id"], 0) + r["length"]
-    assert all(n <= 256 and (n == 256 or n & (n - 1) == 0) for n in fill.values())
+            assert ids == ids_of(t) and {r["doc_tokens"] for r in mine} == {len(ids)}
+    seven = sum(len(ids_of(t)) for i, t, _ in ROWS if i == 7)
+    assert sum(r["length"] for r in rows if r["doc_id"] == 7) == seven
+    filled(rows, 256)
     assert packing.pack(none).count() == 0
-    assert packing.pack(docs).select(F.countDistinct("sequence_id")).count() == 1
+    assert packing.pack(docs.coalesce(1)).select("sequence_id").distinct().count() == packing.pack(docs.coalesce(1)).where("offset = 0").count()
+
+
+def filled(rows, most):
+    """Sequences are without gaps, and full but for powers of two."""
+    by = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for seq in by.values():
+        seq.sort()
+        assert [o for o, _ in seq] == np.cumsum([0, *(n for _, n in seq)])[:-1].tolist()
+        n = sum(k for _, k in seq)
+        assert n <= most and (n == most or n & (n - 1) == 0)
+
+
+def test_sequences_of_equal_partitions_have_numbers_of_their_own(docs):
+    one = docs.coalesce(1)
+    rows = packing.pack(one.union(one)).coalesce(1).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
+    filled(rows, 2048)
+
+
+def test_packing_under_a_limit_on_loss(spark):
+    """Instruction data: the last ids of a document bear loss."""
+    docs = spark.createDataFrame([(i, prose(700 + i, 5 + i % 60), 3 + i % 40) for i in range(200)], "doc_id long, text string, answer int")
+    rows = packing.pack(docs, limits=packing.Limits(256, 8, 60), loss_tail_col="answer").collect()
+    by = {}
+    for r in rows:
+        assert r["loss_tokens"] == max(0, r["start"] + r["length"] - max(r["start"], r["doc_tokens"] - min(r["doc_tokens"], 3 + r["doc_id"] % 40)))
+        by.setdefault(r["sequence_id"], []).append(r)
+    assert all(sum(r["loss_tokens"] for r in seq) <= 60 and len(seq) <= 8 and sum(r["length"] for r in seq) <= 256 for seq in by.values())
+    assert any(50 < sum(r["loss_tokens"] for r in seq) for seq in by.values())
 
 
 def test_mixing(docs, none, spark):
@@ -203,6 +240,27 @@ def test_mixing(docs, none, spark):
     assert kept.columns[: len(docs.columns)] == docs.columns and kept.count() == len(ROWS)
 
 
+def test_mixing_draws_some_of_repeated_rows(spark):
+    """The target falls into 1,000 equal rows: as many of them are drawn as it asks for."""
+    docs = spark.createDataFrame([(1, "w " * 20, "a")] * 1000 + [(i, "w " * 30, "b") for i in range(5000)], "doc_id long, text string, source string").repartition(5)
+    for with_docs in (False, True):
+        got = mixing.mix(docs, weights=(1, 20), share=1.0, with_docs=with_docs)
+        size, target, copies = got.columns[-4 if with_docs else -4], got.columns[-2], got.columns[-1]
+        per = got.groupBy(target).agg(F.sum(F.col(copies) * F.col("_size" if with_docs else "size")).alias("taken"), F.max(copies).alias("most"), F.min(copies).alias("least")).collect()
+        assert len(per) == 2 and all(abs(r["taken"] - r[target]) <= 30 for r in per)
+        assert any(r["least"] < r["most"] for r in per)
+
+
+def test_documents_that_are_certain_leave_the_others_a_smaller_rest(spark):
+    """Inclusion probabilities add up to the target's words though some would be above one."""
+    sizes = spark.createDataFrame([("s", 10_000, 3), ("s", 100, 50), ("s", 4, 1000)], "_source string, _size long, _n long")
+    per = spark.createDataFrame([("s", 39_000, 33_000.0, 33_000.0)], "_source string, source_size long, target double, _rest double")
+    rate = mixing.rates(sizes, per, 1).first()["_rate"]
+    words = [(10_000, 3), (100, 50), (4, 1000)]
+    p = [min(1.0, rate * np.floor(np.sqrt(s) * 1000)) for s, _ in words]
+    assert p[0] == 1.0 and p[2] < 1 and sum(s * n * q for (s, n), q in zip(words, p)) == pytest.approx(33_000, rel=1e-9)
+
+
 def test_mixing_with_many_sources(spark, monkeypatch):
     rows = spark.createDataFrame([(i, "w " * (1 + i % 5), f"s{i % 50}") for i in range(500)], "doc_id long, text string, source string")
     one = sorted(map(tuple, mixing.mix(rows).collect()))
@@ -334,17 +392,101 @@ def test_language_model_keeps_repeated_rows(spark):
     assert len({r["score"] for r in got if r["doc_id"] == 1}) == 1
 
 
-def test_all_words_train_the_mixer(docs, monkeypatch):
-    seen, train = [], mixture._train_mixer
-    monkeypatch.setattr(mixture, "MOST_TRAINED", 10, raising=False)
-    monkeypatch.setattr(mixture, "_train_mixer", lambda words, tables: seen.append(words.select("word").collect()) or train(words, tables))
-    mixture.score(docs).count()
-    assert {r["word"] for r in seen[0]} == {w for _, t, _ in ROWS for w in [*(t or "").split(), mixture.END]}
-
-
-def test_words_seen_once_are_counted_in_every_context(spark):
-    words = spark.createDataFrame([("ox", 1, 0, 0, 0, 0, 1)], "word string, n0 int, n1 int, n2 int, n3 int, n4 int, mask int")
-    tables = mixture.Tables([(r["seg"], bytes(r["data"])) for r in mixture._count_bits(words).collect()])
-    x = mixture.Spelled(["ox"], np.zeros(1, np.int64))
-    slots, _ = x.bits(slice(0, 3), x.contexts())
-    assert (tables.q[slots] > 0).all()
+def test_language_model_scores_copies_apart(spark):
+    """Held-out and training texts alike, if training texts have another copy; an order of words that no other text has is no copy."""
+    rng = np.random.default_rng(11)
+    known = prose(40, 60).split()
+    texts = [" ".join(rng.choice(known, 40)) for _ in range(120)]
+    texts += texts[:20]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in mixture.score(docs).collect()}
+    learned = lambda i: zlib.crc32(str(i).encode()) % 7 != 2
+    copies = [got[i] for i in [*range(20), *range(120, 140)] if learned((i + 120) % 240)]
+    assert len(copies) > 25 and min(copies) > max(got[i] for i in range(20, 120))
+    twice = mixture.score(docs.union(docs)).collect()
+    assert len(twice) == 280
+
+
+def test_language_model_against_plain_counts(spark, monkeypatch):
+    """Scores by dictionaries of contexts, from the fitted codes, weights and refining table."""
+    rng = np.random.default_rng(12)
+    known = [*prose(41, 80).split(), "the", "of"]
+    share = rng.dirichlet(np.full(len(known), 0.3))
+    texts = [" ".join(rng.choice(known, rng.integers(0, 60), p=share)) + f" own{i}" for i in range(90)]
+    texts += [*texts[:6], "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    seen, scores = {}, mixture._scores
+
+    def spy(coded, told, rules, sent, mixer):
+        seen.update(rows=coded.collect(), rules=rules, mixer=mixer, blocks=seen["blocks"].collect())
+        return scores(coded, told, rules, sent, mixer)
+
+    monkeypatch.setattr(mixture, "_scores", spy)
+    blocks = mixture._blocks
+    monkeypatch.setattr(mixture, "_blocks", lambda rows: seen.setdefault("blocks", blocks(rows)))
+    got = {r["doc_id"]: r["score"] for r in mixture.score(docs).collect()}
+    import zstandard
+
+    code, price, count = {}, {}, {}
+    for b in seen["blocks"]:
+        words = zstandard.ZstdDecompressor().decompress(b["words"]).decode().split(" ")
+        mine = mixture.Words([r.asDict() for r in seen["rows"] if r["block"] == b["block"] and r["kind"] == 1])
+        code |= dict(zip(words, mine.code.tolist()))
+        price |= dict(zip(words, mine.price.tolist()))
+        count |= dict(zip(words, mine.c.tolist()))
+    rules, mixer, top = seen["rules"], seen["mixer"], mixture.CLASS + mixture.INDEX
+    learned = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 7 != 2]
+    tokens_of = [[*(t or "").split(), "\n"] for t in texts]
+    assert rules.n == sum(len(tokens_of[i]) for i in learned)
+    kind = lambda w: code[w] >> mixture.INDEX
+    common = lambda w: w is None or count[w] * mixture.COMMON >= rules.n
+    target = lambda w: 0 if kind(w) == mixture.OTHER else code[w]
+    bits_of = lambda w: mixture.CLASS + int(rules.bits[kind(w)])
+
+    def contexts(words):
+        out, frequent = [], [None, None]
+        for k in range(len(words)):
+            one, two = (words[k - 1] if k else None), (words[k - 2] if k > 1 else None)
+            before = one if one is None or (count[one] * mixture.OFTEN >= rules.n and count[one] > 1) else ("class", kind(one))
+            out.append([("none",), ("one", before), ("two", *frequent), None if common(one) and common(two) else ("pair", two, one)])
+            if common(words[k]):
+                frequent = [frequent[1], words[k]]
+        return out
+
+    n = {}
+    for i in learned:
+        for w, ctx in zip(tokens_of[i], contexts(tokens_of[i])):
+            for k, c in enumerate(ctx):
+                depth = top if k == 3 else min(mixture.DENSE_DEPTH[k], bits_of(w))
+                for j in range(depth + 1 if c else 0):
+                    n[c, j, target(w) >> (top - j)] = n.get((c, j, target(w) >> (top - j)), 0) + 1
+    off = []  # tables hold 16 bits of a probability, which now and then moves a bit to the next step of the refining table
+    for i, words in enumerate(tokens_of):
+        own, told, total = int(i in learned), [], 0.0
+        for k, (w, ctx) in enumerate(zip(words, contexts(words))):
+            run = 0
+            for back in (1, 2, 3):
+                if k < back or not told[k - back]:
+                    break
+                run += 1
+            told.append(n.get((ctx[3], top, target(w)), 0) > own if ctx[3] else bool(told) and told[-1])
+            inputs, gates = [], []
+            for j in range(bits_of(w)):
+                x, level = [], 0
+                for which, c in enumerate(ctx):
+                    if c is None or which < 3 and j >= mixture.DENSE_DEPTH[which]:
+                        x.append(0.0)
+                        continue
+                    whole = max(n.get((c, j, target(w) >> (top - j)), 0) - own, 0)
+                    if which < 3:  # at its depth a context counts what comes by that bit alone
+                        same = n.get((c, j + 1, target(w) >> (top - j - 1)), 0)
+                    else:
+                        same = n.get((c, j + 1, target(w) >> (top - j - 1)), 0)
+                        level = int(np.searchsorted([1, 2, 4, 16], whole, "right"))
+                    same = min(max(same - own, 0), whole)
+                    x.append(np.log((same + 0.4) / (whole - same + 0.4)))
+                inputs.append(x)
+                gates.append((run * 5 + level) * 2 + (j >= mixture.CLASS))
+            total += mixer.log10([np.array(x, np.float32) for x in zip(*inputs)], np.array(gates)).sum() + price[w]
+        off.append(abs(got[i] - total))
+    assert max(off) < 0.5 and np.mean(off) < 0.1

@@ -6,6 +6,7 @@ import sys
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 import corpus_pipeline
@@ -92,3 +93,23 @@ def test_packs_hold_all_ids(outputs):
         ids = [*enc.tok.encode(t, add_special_tokens=False).ids, 1]
         mine = pieces[pieces.doc_id == d]
         assert len(mine) and all(np.frombuffer(i, "<u4").tolist() == ids[s : s + n] for i, s, n in zip(mine.ids, mine.start, mine.length))
+
+
+def test_hard_rows_go_through_all_stages(spark):
+    """Nulls in any column, empty texts, repeated rows, ties, names that the operators use themselves, and an empty table."""
+    docs = table(spark, SF, "documents")
+    own = ["score", "predicted", "_key", "_id", "_node", "_size", "_source", "_copies", "_copy", "_doc", "_kept", "_z", "class_id", "Text_"]
+    more = spark.createDataFrame([(9001, None, None, None, None), (9002, "", "en", "src0", 0), (None, "a few words of no id", "en", None, None), (9003, "twice the same row", None, "src1", 18), (9003, "twice the same row", None, "src1", 18)], docs.schema)
+    rows = docs.unionByName(more).select("*", *[(F.lit(c) if i % 2 else F.lit(None).cast("int")).alias(c) for i, c in enumerate(own)])
+    now = rows
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = written(stage(spark, now, SF), f"test-hard-{name}")
+        assert now.columns == rows.columns and now.schema.simpleString() == rows.schema.simpleString()
+        assert now.where("score is not null or predicted <> 'predicted' or _node is not null or _id <> '_id' or Text_ <> 'Text_'").count() == 0
+    pieces = corpus_pipeline.STAGES[-1][1](spark, now, SF)
+    ids = {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()}
+    assert ids == {r["doc_id"] for r in now.select("doc_id").distinct().collect()} and None in {r["doc_id"] for r in rows.select("doc_id").collect()}
+    none = rows.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, SF)
+    assert none.count() == 0

@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Texts of at most about so many bytes are worked on at once in a Python worker.
 SLICE_BYTES = 4 << 20
@@ -28,17 +29,24 @@ def small_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where it is unset, as in tests, a folder under the warehouse serves.
+    Where it is unset, a folder under the warehouse serves if all is one machine, as in tests.
     """
     own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     return own.rstrip("/")
 
 
 def few(df: DataFrame, each: int = 2) -> DataFrame:
-    """df in `each` partitions for each core of the cluster at most: many small files cost more than they help."""
-    return df.coalesce(each * df.sparkSession.sparkContext.defaultParallelism)
+    """df in fewer partitions, as many small files cost more than they help.
+
+    At least `each` for each core, and one for 8 shuffle partitions: these are set
+    by the size of the data, so that tasks don't grow with it.
+    """
+    spark = df.sparkSession
+    return df.coalesce(max(each * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
 
 
 def written(df: DataFrame, label: str, each: int = 1) -> DataFrame:
@@ -52,6 +60,24 @@ def written(df: DataFrame, label: str, each: int = 1) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """name, with underscores behind it until no column has it (names are alike in upper and lower case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def apart(docs: DataFrame, but: str | None = None) -> Column:
+    """All columns of docs (but one) as one column _doc, so that no name clashes with an operator's own."""
+    return F.struct(F.lit(0).alias("_0"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != but]).alias("_doc")
+
+
+def together(docs: DataFrame, but: str | None = None, text: Column | None = None) -> list[Column]:
+    """The columns of docs from _doc, and `text` in the place of the one that is not there."""
+    return [(text if c == but else F.col(f"_doc.c{i}")).alias(c) for i, c in enumerate(docs.columns)]
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df, computed once and kept on the executors' disks; what is lost with an executor is computed again, so df must come out the same."""
     from pyspark import StorageLevel

@@ -24,7 +24,7 @@ A class is named by a 64-bit hash of its text (two different texts share one wit
 probability 3e-20). Defined results: texts without words, null included, are one
 class of copies each by their exact text (null counts as empty); a null doc_id
 stays null; repeated rows are members like others; other columns are kept as they
-are; an empty table gives an empty table.
+are, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, col_of, give_back, kept, sliced, small_batches, written
+from .common import apart, batch_of, col_of, give_back, kept, sliced, small_batches, together, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
@@ -304,10 +304,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     grouped = written(near_duplicates(docs, id_col, text_col, **options), "minhash-groups")
     first = grouped.where(F.col("_id").eqNullSafe(F.col("class_id")))
     gone = grouped.where(~F.col("_id").eqNullSafe(F.col("class_id"))).select("_node", "_id").distinct()
-    key = F.struct(F.col(id_col).cast("long").alias("_id"), node(text_col).alias("_node"))
-    rows = _only(docs.withColumn("_key", key), gone.select(F.struct("_id", "_node").alias("_key")), "_key", "left_anti")
+    key = F.struct(F.col(id_col).cast("long").alias("_id"), node(text_col).alias("_node")).alias("_key")
+    rows = _only(docs.select(apart(docs), key), gone.select(F.struct("_id", "_node").alias("_key")), "_key", "left_anti")
     doubled = first.groupBy("_root").count().where("count > 1")
     if not doubled.isEmpty():  # repeated ids: one row of each group stays
         one = first.groupBy("_root").agg(F.min("_node").alias("_stays")).select("_stays")
         rows = rows.join(one, F.col("_key._node") == F.col("_stays"), "left_semi").dropDuplicates(["_key"])
-    return rows.select(*docs.columns)
+    return rows.select(*together(docs))

@@ -789,8 +789,9 @@ class Scored:
         last = self.flat[self.at[pair] + self.lens[pair] - 1] if len(self.lens) else np.zeros(n, np.uint8)
         told = x.keyed & (last > self.own)
         place = np.maximum.accumulate(np.where(x.keyed, np.arange(n), -1))  # words after two common ones change nothing
-        told = np.where(place >= 0, told[place], False)
-        far = np.arange(n) - np.repeat(x.first, x.lens)
+        first = np.repeat(x.first, x.lens)
+        told = np.where(place >= first, told[place], False)
+        far = np.arange(n) - first
         run, still = np.zeros(n, np.int8), np.ones(n, bool)
         for back in (1, 2, 3):
             before = np.zeros(n, bool)

@@ -81,16 +81,16 @@ def dot_product_bins(demand: np.ndarray, caps: np.ndarray) -> list[list[int]]:
 
 
 class Packer:
-    def __init__(self, limits: Limits, first_id: int, pool: int = 2048):
-        self.lim, self.next, self.most, self.pool = limits, first_id, pool, []
+    def __init__(self, limits: Limits, pool: int = 2048):
+        self.lim, self.most, self.pool = limits, pool, []
         self.out: list[tuple] = []
 
     def _emit(self, pieces: list[Piece]) -> None:
+        """The pieces of a sequence, which follow each other, with their place in it."""
         at = 0
-        for p in pieces:
-            self.out.append((p.doc, p.start, len(p.ids), p.ids, p.total, self.next, at, p.loss))
+        for k, p in enumerate(pieces):
+            self.out.append((p.doc, p.start, len(p.ids), p.ids, p.total, k, at, p.loss))
             at += len(p.ids)
-        self.next += 1
 
     def add(self, doc, ids: np.ndarray, tail: int) -> None:
         rest, lim = Piece(doc, 0, ids, len(ids), tail), self.lim
@@ -160,7 +160,7 @@ class Packer:
         return None
 
 
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("loss_tokens", pa.int64())])
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("place", pa.int64()), ("offset", pa.int64()), ("loss_tokens", pa.int64())])
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = WORD_BPE, end_id: int = 1, limits: Limits = Limits(), loss_tail_col: str | None = None) -> DataFrame:
@@ -175,10 +175,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), tail.alias("tail"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-        from pyspark import TaskContext
-
-        enc, packer = shared_encoder(path), Packer(limits, 0)
+        enc, packer = shared_encoder(path), Packer(limits)
 
         def rows_out() -> pa.RecordBatch:
             got, packer.out = packer.out, []
@@ -187,10 +184,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             return batch_of(_SCHEMA, [list(c) for c in cols])
 
         for b in sliced(batches, "text"):
-            if not packer.next:
-                # Of 63 bits, 18 are the task, 25 the first documents (several partitions can be one task), 20 count.
-                start = xxhash.xxh64_intdigest(repr((col_of(b, "doc_id").to_pylist(), col_of(b, "text")[0].as_py())))
-                packer.next = (TaskContext.get().partitionId() % (1 << 18)) << 45 | (start >> 39) << 20
             ids, offs = with_end(*enc.encode(col_of(b, "text")), end_id)
             for doc, t, lo, hi in zip(col_of(b, "doc_id").to_pylist(), col_of(b, "tail").to_pylist(), offs[:-1], offs[1:]):
                 packer.add(doc, ids[lo:hi].copy(), int(hi - lo) if t is None else max(0, min(t, int(hi - lo))))
@@ -200,4 +193,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         if packer.out:
             yield rows_out()
 
-    return rows.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, loss_tokens long")
+    pieces = rows.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, place long, offset long, loss_tokens long")
+    # A sequence has the number of its first piece; Spark numbers rows by partition and place, and no two partitions share numbers.
+    return pieces.withColumn("sequence_id", F.monotonically_increasing_id() - F.col("place")).select("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "loss_tokens")

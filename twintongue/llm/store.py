@@ -4,18 +4,22 @@ A rolling hash over the last SPAN ids cuts each document's ids into chunks of
 about MEAN ids (at most MOST), so that equal passages give equal chunks wherever
 they stand. A chunk is named by the SHA-256 of its bytes (a width byte, 2 or 4,
 and little-endian ids of that width) and is stored once, by the first document in
-ascending order that has it. The store is a Parquet table in the shared folder:
+ascending order that has it. The store is two Parquet tables in the shared folder:
 
-- a row for each document in ascending doc_id: pack (the file it is in), place,
-  ids of the documents before it in the pack, its recipe (names and lengths of its
-  chunks), which of them it holds itself, their bytes, and its leaf hash;
-- a row for each pack (kind 1): documents, ids and the root of the Merkle tree
-  over its leaves.
+- packs: a row for each document in ascending doc_id: pack (the file it is in),
+  place, ids of the documents before it in the pack, its recipe (names and lengths
+  of its chunks), which of them it holds itself, their bytes, and its leaf hash; and
+  a row for each pack (kind 1): documents, ids and the root of the Merkle tree over
+  its leaves;
+- manifest: a row for each pack in order, with the ids of all packs before it and
+  its root, and one with the root of the Merkle tree over these.
+
+A pack holds about PACK_BYTES of compressed ids.
 
 Only names travel to find out which chunks are double; the ids themselves are
-dealt out once, by ranges of doc_id. Reading checks every chunk against its name,
-every document against its leaf and every pack against its root, and raises if one
-is wrong; documents with all chunks in place are read without a shuffle, and the
+dealt out once, by ranges of doc_id. Reading checks the manifest against its root
+first, then every chunk against its name, every document against its leaf and every
+pack of the manifest against its root, and raises if one is wrong or missing; documents with all chunks in place are read without a shuffle, and the
 chunks that others hold are fetched by name.
 
 Defined results: null and empty texts have the end id alone; a null doc_id comes
@@ -33,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batch_of, col_of, kept, shared_dir, sliced, small_batches
@@ -41,6 +45,7 @@ from .tokens import WORD_BPE, shared_encoder, tokenizer_path, with_end
 
 SPAN, MEAN, MOST = 16, 512, 4096
 NAME = 32
+PACK_BYTES = 64 << 20
 
 
 def cuts(flat: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -163,8 +168,9 @@ def write(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
     notes = double.groupBy("doc_id", "_doc").agg(F.to_json(F.collect_set(F.when(F.col("_mine"), F.col("at")).otherwise(-1 - F.col("at")))).cast("binary").alias("names"))
     notes = notes.select("doc_id", "_doc", F.lit(-1).alias("_tag"), "names", F.lit(b"").alias("lens"), F.lit(b"").alias("data"))
     rows = coded.unionByName(notes)
-    n = spark.sparkContext.defaultParallelism  # a pack each; they are numbered by their tasks, which must not be joined
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "_doc", "_tag")
+    size = coded.agg(F.sum(F.length("data"))).first()[0] or 0
+    n = max(spark.sparkContext.defaultParallelism, -(-size // PACK_BYTES))  # a pack each; they are numbered by their tasks, which must not be joined
+    rows = rows.repartitionByRange(n, "doc_id", "_doc").sortWithinPartitions("doc_id", "_doc", "_tag")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import json
@@ -211,13 +217,60 @@ def write(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
             out.append((1, pack, place, None, before, 0, b"", b"", b"", b"", b"", tree.root()))
             yield batch()
 
-    rows.mapInArrow(run, _STORE_DDL).write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(run, _STORE_DDL).write.option("compression", "zstd").parquet(f"{path}/packs")
     coded.unpersist()
     found.unpersist()
     spark._jvm.System.gc()
+    packs = spark.read.parquet(f"{path}/packs").where("kind = 1").select("pack", F.col("place").alias("n_docs"), "n_ids", F.lit(0).cast("long").alias("start"), F.col("hash").alias("root"))
+    packs.repartition(1).sortWithinPartitions("pack").mapInArrow(_listed, _MANIFEST_DDL).write.option("compression", "zstd").parquet(f"{path}/manifest")
     return path
 
 
+_MANIFEST = pa.schema([("pack", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("start", pa.int64()), ("root", pa.binary())])
+_MANIFEST_DDL = "pack int, n_docs long, n_ids long, start long, root binary"
+
+
+def _pack_leaf(pack: int, docs: int, ids: int, root: bytes) -> bytes:
+    return hashlib.sha256(b"pack" + f"{pack}:{docs}:{ids}:".encode() + root).digest()
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packs in order with the ids before each, and after them the root over all."""
+    tree, all_docs, start = Merkle(), 0, 0
+    for b in batches:
+        out = []
+        for pack, docs, ids, _, root in zip(*(c.to_pylist() for c in b.columns)):
+            out.append((pack, docs, ids, start, root))
+            tree.add(_pack_leaf(pack, docs, ids, root))
+            all_docs, start = all_docs + docs, start + ids
+        if out:
+            yield batch_of(_MANIFEST, [list(c) for c in zip(*out)])
+    yield batch_of(_MANIFEST, [[None], [all_docs], [start], [0], [tree.root()]])
+
+
+def _manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The packs of the manifest; raises unless they give its root."""
+    table = spark.read.parquet(f"{path}/manifest")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, all_docs, at, end = Merkle(), 0, 0, None
+        for b in batches:
+            for pack, docs, ids, start, root in zip(*(c.to_pylist() for c in b.columns)):
+                if pack is None:
+                    end = (docs, ids, root)
+                    continue
+                if start != at:
+                    raise ValueError(f"pack {pack} does not follow the packs before it")
+                tree.add(_pack_leaf(pack, docs, ids, root))
+                all_docs, at = all_docs + docs, at + ids
+        if end != (all_docs, at, tree.root()):
+            raise ValueError("the manifest does not give its root")
+        yield batch_of(_MANIFEST, [[None], [all_docs], [at], [0], [tree.root()]])
+
+    table.repartition(1).sortWithinPartitions(F.col("pack").asc_nulls_last()).mapInArrow(check, _MANIFEST_DDL).collect()
+    return table.where("pack IS NOT NULL").select("pack", "n_docs", F.col("n_ids").alias("pack_ids"), "root", F.col("start").alias("pack_start"))
+
+
 _CHUNK = pa.schema([("name", pa.binary()), ("chunk", pa.binary())])
 _READ = pa.schema([("pack", pa.int32()), ("place", pa.int64()), ("doc_id", pa.int64()), ("before", pa.int64()), ("n_ids", pa.int64()), ("crc", pa.int64()), ("ids", pa.binary()), ("leaf", pa.binary())])
 
@@ -253,8 +306,8 @@ def _assembled(rows: DataFrame, with_ids: bool) -> DataFrame:
 def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, ids (little-endian unsigned 32-bit; null unless with_ids)."""
     small_batches(spark)
-    table = spark.read.parquet(path)
-    docs = table.where("kind = 0")
+    packs = _manifest(spark, path)
+    docs = spark.read.parquet(f"{path}/packs").where("kind = 0")
     whole = docs.where(~_misses())
     parted = docs.where(_misses())
 
@@ -276,8 +329,6 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     columns = ["pack", "place", "doc_id", "n_ids", "before", "names", "lens", "held", "data", "hash", "fetched"]
     none = F.lit(None).cast("array<struct<at:int,chunk:binary>>").alias("fetched")
     got = _assembled(whole.select(*columns[:-1], none), with_ids).unionByName(_assembled(parted.join(fetched, ["pack", "place"], "left").select(*columns), with_ids))
-    packs = table.where("kind = 1").select("pack", F.col("place").alias("n_docs"), F.col("n_ids").alias("pack_ids"), F.col("hash").alias("root"))
-    packs = packs.withColumn("pack_start", F.coalesce(F.sum("pack_ids").over(Window.orderBy("pack").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rows = packs.join(got, "pack", "left").repartition("pack").sortWithinPartitions("pack", "place")
     out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 

@@ -21,8 +21,9 @@ before the sort, which is as exact.
 
 Defined results: a null text is empty; texts shorter than `length` are kept; rows
 with equal doc_id and text are documents of their own, which repeat each other;
-other columns are kept, whatever their names, unless they start with an
-underscore; an empty table gives an empty table.
+other columns are kept, whatever their names (where one is called as a column that
+dedup adds, that has underscores behind its name); an empty table gives an empty
+table.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .common import SLICE_BYTES, batch_of, col_of, kept, sliced, small_batches, string_buffers, written
+from .common import SLICE_BYTES, apart, batch_of, col_of, fresh, kept, sliced, small_batches, string_buffers, together, written
 
 LENGTH, GRAM = 200, 32
 #: So many positions are hashed at once.
@@ -337,7 +338,7 @@ def _windows(rows: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """_key (see with_key), _from, _to: byte spans covered by repeated windows; they overlap."""
     small_batches(docs.sparkSession)
-    texts = with_key(docs, text_col, id_col).select("_key", "_text")
+    texts = with_key(docs.select(id_col, text_col), text_col, id_col).select("_key", "_text")
     found = _anchored(texts, length)
     # Written, so that the join deals out both sides anew and can split what a common string makes of one hash.
     often = written(found.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h"), "suffix-hashes")
@@ -370,9 +371,9 @@ def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lengt
     """docs with _kept (the bytes that stay; as_text: as a string, without characters that lost a byte), _n_bytes, _n_removed and _n_spans (maximal removed runs)."""
     spans = repeated_spans(docs, text_col, id_col, length, hot)
     spans = spans.groupBy("_key").agg(F.collect_set(F.struct("_from", "_to")).alias("_spans"))
-    keyed = _compressed(with_key(docs, text_col, id_col).drop("_text"), text_col)
-    rows = keyed.join(spans.hint("shuffle_hash"), "_key", "left").drop("_key")
-    names = [c for c in docs.columns if c != text_col]
+    bare = docs.select(apart(docs, text_col), F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+    keyed = _compressed(with_key(bare, "text", "_id").select("_doc", "_key", "text"), "text")
+    rows = keyed.join(spans.hint("shuffle_hash"), "_key", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "_z", 2 << 20):
@@ -394,10 +395,10 @@ def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lengt
                 kept.append(mine[~gone].tobytes())
                 removed.append(int(gone.sum()))
                 runs.append(int(gone[:1].sum() + np.count_nonzero(gone[1:] & ~gone[:-1])))
-            own = {"_kept": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), "_n_bytes": pa.array(np.diff(offs)), "_n_removed": pa.array(removed, pa.int64()), "_n_spans": pa.array(runs, pa.int64())}
-            own[text_col] = pa.array([None if null else raw[i:j].decode() for null, i, j in zip(z.is_null().to_pylist(), offs[:-1].tolist(), offs[1:].tolist())], pa.string())
-            yield pa.RecordBatch.from_arrays([own[c] if c in own else col_of(b, c) for c in order], order)
+            stays = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            texts = pa.array([None if null else raw[i:j].decode() for null, i, j in zip(z.is_null().to_pylist(), offs[:-1].tolist(), offs[1:].tolist())], pa.string())
+            yield pa.RecordBatch.from_arrays([col_of(b, "_doc"), texts, stays, pa.array(np.diff(offs)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())], [f.name for f in out])
 
-    more = [StructField("_kept", StringType() if as_text else BinaryType()), *(StructField(c, LongType()) for c in ("_n_bytes", "_n_removed", "_n_spans"))]
-    order = [*docs.columns, *(f.name for f in more)]
-    return rows.select(*names, "_z", "_spans").mapInArrow(run, StructType([*docs.schema.fields, *more]))
+    more = ("_kept", "_n_bytes", "_n_removed", "_n_spans")
+    out = StructType([rows.schema["_doc"], StructField("text", StringType()), StructField(more[0], StringType() if as_text else BinaryType()), *(StructField(c, LongType()) for c in more[1:])])
+    return rows.select("_doc", "_z", "_spans").mapInArrow(run, out).select(*together(docs, text_col, F.col("text")), *[F.col(c).alias(fresh(c, docs.columns)) for c in more])

@@ -18,8 +18,9 @@ documents without a shuffle.
 Defined results: null and empty texts have the score of a text without evidence;
 contradicting labels of a doc_id count as the highest; null labels and labels of a
 null doc_id are not read; without labels of both classes all scores are 0; repeated
-rows have equal scores; other columns are kept as they are; an empty table gives an
-empty table.
+rows have equal scores; other columns are kept as they are, and where one is called
+score or predicted, the operator's own column has underscores behind that name; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col_of, give_back, sliced, small_batches
+from .common import col_of, fresh, give_back, sliced, small_batches
 
 MOST_TOXIC, MOST_ORDINARY = 5000, 12_000
 BITS = 19
@@ -191,11 +192,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, packed: bytes | None, text_col: str = "text") -> DataFrame:
-    """docs with score (0 to 1) and predicted (1 from THRESHOLD on)."""
-    rest = [c for c in docs.columns if c not in ("score", "predicted")]
-    docs = docs.select(*rest)
+    """docs and, after their own columns, score (0 to 1) and predicted (1 from THRESHOLD on)."""
+    names = [fresh(n, docs.columns) for n in ("score", "predicted")]
     if packed is None:
-        return docs.withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0))
+        return docs.select("*", F.lit(0.0).alias(names[0]), F.lit(0).alias(names[1]))
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(packed)
 
@@ -214,9 +214,9 @@ def score(docs: DataFrame, packed: bytes | None, text_col: str = "text") -> Data
             else:
                 mean, scale, beta = curve
                 p = 1 / (1 + np.exp(-np.clip(np.column_stack([(x - mean) / scale, np.ones(len(x))]) @ beta, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64()), pa.array((p >= THRESHOLD).astype(np.int32), pa.int32())], [*b.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64()), pa.array((p >= THRESHOLD).astype(np.int32), pa.int32())], [*b.schema.names, *names])
 
     from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-    schema = StructType([*docs.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    schema = StructType([*docs.schema.fields, StructField(names[0], DoubleType()), StructField(names[1], IntegerType())])
     return docs.mapInArrow(run, schema)
