@@ -4,6 +4,12 @@ Each stage takes (spark, docs, sf_dir) and works on all rows of its predecessor,
 which are written as Parquet and read again in between. All stages but the last
 return the columns of documents.
 
+Defined results: a null text is empty to every stage and stays null up to the last;
+documents with equal texts, empty ones included, are copies of each other, of which
+one stays; ties and repeated rows are as in each operator's module; a null doc_id
+and a null source are kept; other columns, whatever their names, go through all
+stages but the last; an empty table gives an empty table.
+
 SQL cannot express the first stages (a fitted model, sketches), so ORACLE_SQL is
 None; tests/llm/test_pipeline.py holds every stage against a plain version of it.
 """
@@ -14,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twintongue.llm import minhash, mixing, packing, suffix, toxicity
-from twintongue.llm.common import few, table, written
+from twintongue.llm.common import few, fresh, table, written
 
 ORACLE_SQL = None
 
@@ -22,7 +28,8 @@ ORACLE_SQL = None
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model does not predict to be toxic."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return few(toxicity.score(docs, model).where("predicted = 0").select(*docs.columns))
+    scored = toxicity.score(docs, model)
+    return few(scored.where(F.col(scored.columns[-1]) == 0).select(*docs.columns))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,14 +40,16 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without bytes covered by a repeated string of 200 bytes; characters that lose a byte go whole."""
     cut = suffix.dedup(docs, as_text=True)
-    changed = {"text": F.when(F.col("text").isNotNull(), F.col("_kept")), "n_chars": F.when(F.col("text").isNotNull(), F.char_length("_kept").cast(docs.schema["n_chars"].dataType))}
+    stays = F.col(cut.columns[len(docs.columns)])
+    changed = {"text": F.when(F.col("text").isNotNull(), stays), "n_chars": F.when(F.col("text").isNotNull(), F.char_length(stays).cast(docs.schema["n_chars"].dataType))}
     return few(cut.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns]))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often (0, 1 or 2 times) as the mix takes it."""
-    taken = mixing.mix(docs, with_docs=True).where("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    mixed = mixing.mix(docs, with_docs=True)
+    copies = F.col(mixed.columns[-1])
+    return mixed.where(copies > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1), copies.cast("int"))).alias(fresh("_copy", docs.columns))).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
