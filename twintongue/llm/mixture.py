@@ -122,7 +122,10 @@ class Counter:
         self.n = np.zeros(2 * slots, np.int32)
 
     def add(self, slots: np.ndarray, bit: np.ndarray) -> None:
-        np.add.at(self.n, 2 * slots + bit, 1)
+        at = (2 * slots + bit).astype(np.int32)
+        at.sort()
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        self.n[at[first]] += np.diff(first, append=len(at)).astype(np.int32)
 
     def segments(self) -> Iterator[tuple[int, bytes]]:
         """Number, and used places with both counts, of each segment that is used."""
