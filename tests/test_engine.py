@@ -1,7 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 from twintongue.errors import AlreadyExists, ConstraintViolation, EngineError, ParseError, TransactionError, TriggerAbort, UnknownName
-from twintongue.plans.engine import Done
+from twintongue.plans.engine import Done, Engine
 from twintongue.plans.text import statements
 from twintongue.sources import files
 from twintongue.streaming.inserts import stream_into
@@ -151,3 +152,51 @@ def test_random_graphs_against_networks(engine, rows, seed):
     assert set(rows(engine.datalog(facts + " p(X, Y) :- edge(X, Y). p(X, Z) :- p(X, Y), p(Y, Z). ?- p(X, Y)."))) == reach
     apart = {(a, b) for a, _ in edges for _, b in edges if (a, b) not in reach}
     assert set(rows(engine.datalog("from(X) :- edge(X, _). to(Y) :- edge(_, Y). q(X, Y) :- from(X), to(Y), not p(X, Y). ?- q(X, Y)."))) == apart
+
+
+def test_names_end_with_their_tables(spark):
+    spark.range(3).createOrReplaceTempView("mine")
+    e, other = Engine(spark), Engine(spark)
+    e.sql("CREATE TABLE mine (a INT)")
+    e.sql("INSERT INTO mine VALUES (7)")
+    assert [r.a for r in e.sql("SELECT a FROM mine").collect()] == [7]
+    assert spark.table("mine").count() == 3
+    spark.catalog.dropTempView("mine")
+    with pytest.raises(Exception, match="TABLE_OR_VIEW_NOT_FOUND"):
+        other.sql("SELECT a FROM mine")
+    e.sql("BEGIN")
+    e.sql("CREATE TABLE gone (a INT)")
+    e.sql("SELECT * FROM gone").collect()
+    e.sql("ROLLBACK")
+    e.sql("DROP TABLE mine")
+    for name in ("mine", "gone"):
+        with pytest.raises(Exception, match="TABLE_OR_VIEW_NOT_FOUND"):
+            e.sql(f"SELECT * FROM {name}")
+
+
+def test_cached_frames_stay_cached(spark):
+    df = spark.range(5).withColumn("b", F.col("id") * 3).cache()
+    e = Engine(spark).register("cached_rows", df)
+    assert e.sql("SELECT max(b) AS m FROM cached_rows").first().m == 12
+    assert df.storageLevel.useMemory and spark._jsparkSession.sharedState().cacheManager().lookupCachedData(df._jdf).isDefined()
+    df.unpersist()
+
+
+def test_the_dialect_in_statements(spark):
+    e = Engine(spark)
+    e.sql("CREATE TABLE t (a INT, b INT, s VARCHAR)")
+    e.sql("INSERT INTO t VALUES (7, 2, ' x '), (-7, 0, NULL)")
+    got = e.sql("SELECT a, a / b AS q, a % b AS m, a / 2.0 AS f, concat('<', s, '>') AS c, trim(s) AS u FROM t ORDER BY a DESC").collect()
+    assert [tuple(r) for r in got] == [(7, 3, 1, 3.5, "< x >", "x"), (-7, None, None, -3.5, "<>", None)]
+    got = e.sql("""SELECT json_extract('{"k": [1, 2]}', 'k') AS x, json_type('{"k": 1}', '$.k') AS y, json_valid('{') AS z, 7 / 2 AS w""").first()
+    assert tuple(got) == ("[1,2]", "number", False, 3)
+
+
+def test_subqueries_in_changes(spark):
+    e = Engine(spark)
+    for text in ("CREATE TABLE t (id INT, v INT)", "CREATE TABLE o (k INT, w INT)", "INSERT INTO t VALUES (1, 10), (2, 20), (3, 30)", "INSERT INTO o VALUES (1, 5), (3, 9)"):
+        e.sql(text)
+    assert e.sql("UPDATE t SET v = v / 4 + (SELECT max(w) FROM o) WHERE id IN (SELECT k FROM o)").rows == 2
+    assert sorted(map(tuple, e.table("t").collect())) == [(1, 11), (2, 20), (3, 16)]
+    assert e.sql("DELETE FROM t WHERE EXISTS (SELECT 1 FROM o WHERE o.k = t.id AND w > 5)").rows == 1
+    assert sorted(r.id for r in e.table("t").collect()) == [1, 2]

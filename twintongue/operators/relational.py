@@ -87,6 +87,10 @@ OWN = {
     "sum": ("SELECT o_orderstatus, sum(o_custkey) AS s, round(sum(o_totalprice), 2) AS t FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, CAST(sum(o_custkey) AS BIGINT) AS s, round(sum(o_totalprice), 2) AS t FROM orders GROUP BY o_orderstatus"),
     "sum_compound": ("SELECT c_nationkey, sum(c_custkey) + count(*) * 2 AS v FROM customer GROUP BY c_nationkey", "SELECT c_nationkey, CAST(sum(c_custkey) + count(*) * 2 AS BIGINT) AS v FROM customer GROUP BY c_nationkey"),
     "nongroup_first": ("SELECT n_regionkey, min_by(n_name, n_nationkey) AS first_name FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, arg_min(n_name, n_nationkey) AS first_name FROM nation GROUP BY n_regionkey"),
+    "arith_dialect": (
+        "SELECT p_partkey, p_size / 7 AS q, p_size % 7 AS r, p_size / 0 AS z, p_size / 2.0 AS f, concat(p_name, NULL, p_size) AS c, trim(concat(' ', p_name, '  ')) AS t FROM part",
+        "SELECT p_partkey, CAST(p_size // 7 AS BIGINT) AS q, p_size % 7 AS r, CAST(NULL AS BIGINT) AS z, p_size / 2.0::DOUBLE AS f, p_name || p_size::VARCHAR AS c, trim(p_name) AS t FROM part",
+    ),
     "group_expr": ("SELECT c_custkey % 10 AS b, count(*) AS n FROM customer GROUP BY c_custkey % 10", "SELECT c_custkey % 10 AS b, count(*) AS n FROM customer GROUP BY c_custkey % 10"),
     "win_row_number": ("SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS BIGINT) AS rn FROM orders", None),
     "win_rank": ("SELECT p_partkey, CAST(rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS BIGINT) AS r FROM part", None),

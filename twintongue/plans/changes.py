@@ -69,14 +69,14 @@ class Changes:
         if batch is None:
             named = {relation.column(c).name: e for c, e in assignments.items()}
             new = [F.expr(named[c.name]).cast(c.type) if c.name in named else F.col(f"`{c.name}`") for c in relation.columns]
-            batch = relation.df.where(hit).select(*[x.alias(f"n_{c.name.lower()}") for x, c in zip(new, relation.columns)], *[F.col(f"`{c}`").alias(f"o_{c.lower()}") for c in relation.names])
+            batch = relation.df.alias(table).where(hit).select(*[x.alias(f"n_{c.name.lower()}") for x, c in zip(new, relation.columns)], *[F.col(f"`{c}`").alias(f"o_{c.lower()}") for c in relation.names])
         batch = cut(self._fired(table, "UPDATE", True, cut(batch)))
         return self._replace(table, relation, batch)
 
     def delete(self, table: str, where: str | None) -> int:
         relation = self.catalog.get(table)
         hit = F.coalesce(F.expr(where), F.lit(False)) if where else F.lit(True)
-        batch = cut(self._fired(table, "DELETE", True, cut(_prefixed(relation.df.where(hit), "o_"))))
+        batch = cut(self._fired(table, "DELETE", True, cut(_prefixed(relation.df.alias(table).where(hit), "o_"))))
         n = batch.count()
         kept = self._without(relation.df, _plain(batch, relation, "o_"))
         self._set(table, kept)
