@@ -205,14 +205,14 @@ def test_store_parts():
 def test_bit_predictors_sum_to_one():
     """Both bits of an event have probabilities that add up to one, whatever the counts, weights and refining table."""
     rng = np.random.default_rng(0)
-    t = mixture.Table((16,), [])
-    t.p[:], t.q[:] = rng.integers(0, 65536, len(t.p)), rng.integers(0, 60, len(t.q))
+    n = mixture.SEGMENT
+    t = mixture.Table((16,), [(0, mixture._pack(rng.integers(0, 65536, n).astype(np.uint16), rng.integers(0, 60, n).astype(np.uint8)))])
     mixer = mixture.Mixer(3, 2)
     for _ in range(5):
         mixer.learn([rng.normal(0.5, 1, 1000).astype(np.float32) for _ in range(2)], rng.integers(0, 3, 1000))
     mixer = mixture.Mixer(3, 2, mixer.sums())
-    slots, gate, zero = rng.integers(0, len(t.p), 5000), rng.integers(0, 3, 5000), np.zeros(5000, np.float32)
-    both = [[t.agree(slots[::k], np.full(5000, bit), zero)[0] for k in (1, -1)] for bit in (0, 1)]
+    slots, gate = rng.integers(0, n, 5000), rng.integers(0, 3, 5000)
+    both = [[t.agree(slots[::k], np.full(5000, 2 * bit)) for k in (1, -1)] for bit in (0, 1)]
     assert 10 ** mixer.log10(both[0], gate) + 10 ** mixer.log10(both[1], gate) == pytest.approx(1, abs=1e-3)
 
 

@@ -67,8 +67,10 @@ GATES, SPELL_GATES, BUCKETS = 40, 12, 24
 WORDS_AT_ONCE, PAIRS_AT_ONCE = 400_000, 2_000_000
 #: A task that counts into a table works on so many bytes of text at least.
 COUNTED_BYTES = 256 << 20
-#: Bits that are mixed at once.
-PART = 1 << 16
+#: Bits of spelling, and tokens, that are mixed at once.
+PART, TOKENS = 1 << 16, 1 << 12
+#: A log-odds of one in a table.
+UNIT = 2000
 _U = np.uint64
 
 
@@ -164,20 +166,29 @@ class Table:
     def __init__(self, bits: tuple[int, ...], segments: list[tuple[int, bytes]]):
         slots = sum(1 << b for b in bits)
         slots += -slots % SEGMENT
-        self.bits, self.base = bits, np.cumsum([0, *(1 << b for b in bits)])
-        self.p, self.q = np.zeros(slots, np.uint16), np.zeros(slots, np.uint8)
-        for seg, data in segments:
-            at = slice(seg * SEGMENT, (seg + 1) * SEGMENT)
-            self.p[at], self.q[at] = _unpack(data, (np.uint16, SEGMENT), (np.uint8, SEGMENT))
+        self.bits, self.q = bits, np.zeros(slots, np.uint8)
         k = np.arange(256)
         self.times = np.where(k < 128, k, 128 * 2.0 ** ((k - 128) / 4)).astype(np.float32)
+        #: For each slot the log-odds of a zero and of a one, each with the event itself and without it.
+        self.said = np.zeros((slots, 4), np.int16)
+        for seg, data in segments:
+            at = slice(seg * SEGMENT, (seg + 1) * SEGMENT)
+            p, self.q[at] = _unpack(data, (np.uint16, SEGMENT), (np.uint8, SEGMENT))
+            n = self.times[self.q[at]]
+            ones = p.astype(np.float32) * (n / np.float32(65535))
+            for bit in (0, 1):
+                for own in (0, 1):
+                    said = odds(n, ones if bit else n - ones, np.float32(own))[0]
+                    self.said[at, 2 * bit + own] = np.round(np.clip(said, -16, 16) * UNIT)
+        self.said = self.said.ravel()
+
+    def agree(self, slots: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Log-odds of the bits that came; kind: twice the bit, and one if the event is to be left out."""
+        return self.said[4 * slots + kind] * np.float32(1 / UNIT)
 
-    def agree(self, slots: np.ndarray, bit: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log-odds of the bits that came, and how often the slots were seen, without the event itself where own is 1."""
-        n = self.times[self.q[slots]]
-        ones = self.p[slots].astype(np.float32) * (n / np.float32(65535))
-        same = np.where(bit == 1, ones, n - ones)
-        return odds(n, same, own)
+    def seen(self, slots: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """How often the slots were seen, without the event itself where own is 1."""
+        return np.maximum(self.times[self.q[slots]] - own, 0)
 
 
 def odds(n: np.ndarray, same: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -300,10 +311,10 @@ class Spelled:
         """Bytes, log-odds of each predictor, and gates. own: whether the word is among those that were counted."""
         for part, slots, bit in self.parts():
             mine = np.repeat(own[self.word[part]], 8).astype(np.float32)
-            got = [t.agree(x, bit, mine) for x in slots]
-            seen = [np.searchsorted(np.array([1, 4, 16], np.float32), got[k][1], "right") for k in (3, 4)]
+            kind = 2 * bit + (mine > 0)
+            seen = [np.searchsorted(np.array([1, 4, 16], np.float32), t.seen(slots[k], mine), "right") for k in (3, 4)]
             gate = seen[1] * 3 + np.minimum(seen[0], 2)
-            yield part, [a for a, _ in got], gate
+            yield part, [t.agree(x, kind) for x in slots], gate
 
     def price(self, t: Table, mixer: Mixer, own: np.ndarray) -> np.ndarray:
         out = np.zeros(len(self.lens))
@@ -523,7 +534,7 @@ def _spell_tables(letters: DataFrame, n_tasks: int) -> list[tuple[int, bytes]]:
 
 def _spell_mixer(letters: DataFrame, tables, n_tasks: int) -> Mixer:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, mixer = Table(SPELL_BITS, tables.value), Mixer(SPELL_GATES, len(SPELL_BITS))
+        t, mixer = tables.value.unpacked(), Mixer(SPELL_GATES, len(SPELL_BITS))
         for _, rows in _groups(batches, "q"):
             x = Lexicon(rows)
             words = [w for w, c in zip(x.words, x.c) if c > 0 and w != END]
@@ -531,7 +542,6 @@ def _spell_mixer(letters: DataFrame, tables, n_tasks: int) -> Mixer:
                 for _, inputs, gate in Spelled(some).inputs(t, own):
                     mixer.learn(inputs, gate)
         yield _sum_rows(mixer.sums())
-        del t
         give_back()
 
     size = Mixer(SPELL_GATES, len(SPELL_BITS)).sums().size
@@ -546,7 +556,7 @@ def _word_answers(letters: DataFrame, codes: Codes, least: float, tables, mixer:
     """To each block: counts, codes and prices of its words, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Table(SPELL_BITS, tables.value)
+        t = tables.value.unpacked()
         for q, rows in _groups(batches, "q"):
             x = Lexicon(rows)
             k = x.classes(least)
@@ -556,7 +566,6 @@ def _word_answers(letters: DataFrame, codes: Codes, least: float, tables, mixer:
                 price[rare[at]] = Spelled(some).price(t, mixer, own)
             for block, at in x.letters:
                 yield batch_of(_ANSWER, [[block], [q], [len(at).to_bytes(4, "little") + _pack(x.c[at], code[at], price[at])]])
-        del t
         give_back()
 
     return letters.mapInArrow(run, _ANSWER_DDL)
@@ -640,31 +649,23 @@ class Texts:
         self.pair_context, self.pair_code = context[new], code[new]
         self.pair_count = np.bincount(number, learned, int(new.sum())).astype(np.int64)
 
-    def slices(self) -> Iterator[slice]:
-        """Tokens whose codes have about PART bits."""
-        ends = np.cumsum(self.bits[self.tok])
-        at = 0
-        while at < len(self.tok):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART, "right")))
-            yield slice(at, to)
-            at = to
-
-    def spread(self, part: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of each bit: its token, its place in the code, the bit, and a hash of place and bits before."""
-        tok = self.tok[part]
-        bits = self.bits[tok]
-        j = ragged(np.zeros(len(tok)), bits)
-        of = np.repeat(np.arange(part.start, part.stop), bits)
-        code = np.repeat(self.target[tok], bits)
-        shift = CLASS + INDEX - j
-        return of, j, code >> (shift - 1) & 1, _mixed(((code >> shift) << 6 | j).astype(_U))
+    def slices(self, most: int) -> Iterator[slice]:
+        for at in range(0, len(self.tok), most):
+            yield slice(at, min(at + most, len(self.tok)))
 
-    def dense(self, of: np.ndarray, j: np.ndarray, node: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Of each dense context: its number, which bits it counts, and their slots."""
-        for k, depth in enumerate(DENSE_DEPTH):
-            at = np.flatnonzero(j < depth)
-            context = _U(0) if k == 0 else self.one[self.before[of[at]]] if k == 1 else self.two[of[at]]
-            yield k, at, slots_of(DENSE_BITS, k, context, node[at])
+    def places(self, part: slice, some: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """Of each place in the codes of some tokens: the tokens that have it, counted from the part's start, their bits, and slots of the dense contexts that count it."""
+        tok = self.tok[part]
+        bits, code = self.bits[tok], self.target[tok]
+        contexts = (np.zeros(len(tok), _U), self.one[self.before[part]], self.two[part])
+        at = np.arange(len(tok)) if some is None else np.flatnonzero(some)
+        j = 0
+        while len(at):
+            mine, shift = code[at], CLASS + INDEX - j
+            node = _mixed(((mine >> shift) << 6 | j).astype(_U))
+            yield j, at, mine >> (shift - 1) & 1, [slots_of(DENSE_BITS, k, contexts[k][at], node) for k, depth in enumerate(DENSE_DEPTH) if j < depth]
+            j += 1
+            at = at[bits[at] > j]
 
 
 def _coded(batches: Iterator[pa.RecordBatch], rules: Rules) -> Iterator[tuple[int, Texts]]:
@@ -680,12 +681,10 @@ def _dense_tables(coded: DataFrame, rules: Rules, n_tasks: int) -> list[tuple[in
         n = Counter(sum(1 << b for b in DENSE_BITS))
         for _, x in _coded(batches, rules):
             learned = np.repeat(x.held == 0, x.lens)
-            for part in x.slices():
-                of, j, bit, node = x.spread(part)
-                mine = learned[of]
-                of, j, bit, node = of[mine], j[mine], bit[mine], node[mine]
-                for _, at, slots in x.dense(of, j, node):
-                    n.add(slots, bit[at])
+            for part in x.slices(16 * TOKENS):
+                for _, _, bit, every in x.places(part, learned[part]):
+                    for slots in every:
+                        n.add(slots, bit)
         for seg, data in n.segments():
             yield batch_of(_SEG, [[seg], [data]])
         del n
@@ -719,6 +718,10 @@ def quantised(n: np.ndarray) -> np.ndarray:
 
 #: What the bytes of quantised stand for.
 COUNTS = np.where(np.arange(256) <= 32, np.arange(256), 32 * 2.0 ** ((np.arange(256) - 32) / 4)).astype(np.float32)
+#: By whether the event is to be left out, the context's byte, and the byte with the bit that came: log-odds; by the first two: the gate's level.
+FOLLOWED, _n = odds(COUNTS[None, :, None], COUNTS[None, None, :], np.array([0, 1], np.float32)[:, None, None])
+FOLLOWED = np.where(_n == 0, np.float32(0), FOLLOWED).ravel()
+LEVEL = np.searchsorted(np.array([1, 2, 4, 16], np.float32), _n.ravel(), "right")
 
 
 def followed(context: np.ndarray, code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -804,26 +807,24 @@ class Scored:
         return run
 
     def inputs(self) -> Iterator[tuple[slice, np.ndarray, list[np.ndarray], np.ndarray]]:
-        x = self.x
-        for part in x.slices():
-            of, j, bit, node = x.spread(part)
-            own = self.own[of].astype(np.float32)
-            out = []
-            for _, at, slots in x.dense(of, j, node):
-                a = np.zeros(len(of), np.float32)
-                a[at] = self.table.agree(slots, bit[at], own[at])[0]
-                out.append(a)
-            pair = x.pair[of]
-            n, same = np.zeros(len(of), np.float32), np.zeros(len(of), np.float32)
+        """Some tokens; of each of their bits: its token, log-odds of each predictor, and gate."""
+        x, none = self.x, len(self.flat) - 1
+        for part in x.slices(TOKENS):
+            pair = x.pair[part]
+            first, most = np.full(len(pair), none), np.zeros(len(pair), np.int64)
             has = np.flatnonzero(pair >= 0)
-            first, most, jj = self.at[pair[has]], self.lens[pair[has]] - 1, j[has]
-            n[has] = COUNTS[self.flat[first + np.minimum(jj, most)]]
-            same[has] = COUNTS[self.flat[first + np.minimum(jj + 1, most)]]
-            a, n = odds(n, same, own)
-            a[n == 0] = 0
-            out.append(a)
-            level = np.searchsorted(np.array([1, 2, 4, 16], np.float32), n, "right")
-            yield part, of, out, (self.run[of].astype(np.int64) * 5 + level) * 2 + (j >= CLASS)
+            first[has], most[has] = self.at[pair[has]], self.lens[pair[has]] - 1
+            own, run, got = self.own[part].astype(np.int64), self.run[part].astype(np.int64) * 10, []
+            for j, at, bit, every in x.places(part):
+                mine, start, end = own[at], first[at], most[at]
+                kind = 2 * bit + mine
+                out = [self.table.agree(slots, kind) for slots in every]
+                out += [np.zeros(len(at), np.float32)] * (len(DENSE_BITS) - len(out))
+                n = mine << 8 | self.flat[start + np.minimum(j, end)]
+                out.append(FOLLOWED[n << 8 | self.flat[start + np.minimum(j + 1, end)]])
+                got.append((at, *out, run[at] + LEVEL[n] * 2 + (j >= CLASS)))
+            of, *out, gate = (np.concatenate(a) for a in zip(*got))
+            yield part, of + part.start, out, gate
 
 
 _INPUTS = len(DENSE_BITS) + 1
@@ -850,14 +851,14 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens",
 
 
 class Sent:
-    """The dense table as it is broadcast; a worker unpacks it once."""
+    """A table as it is broadcast; a worker unpacks it once."""
 
-    def __init__(self, segments: list[tuple[int, bytes]]):
-        self.segments, self.table = segments, None
+    def __init__(self, bits: tuple[int, ...], segments: list[tuple[int, bytes]]):
+        self.bits, self.segments, self.table = bits, segments, None
 
     def unpacked(self) -> Table:
         if self.table is None:
-            self.table = Table(DENSE_BITS, self.segments)
+            self.table = Table(self.bits, self.segments)
         return self.table
 
 
@@ -915,12 +916,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     v, most, listed = _stats(letters, least)
     codes = Codes(most, listed, log_q)
     rules = Rules(n, v, codes.bits, min(62, _log2(total["n_tokens"], 1) + 10))
-    spelling = spark.sparkContext.broadcast(_spell_tables(letters, counting))
+    spelling = spark.sparkContext.broadcast(Sent(SPELL_BITS, _spell_tables(letters, counting)))
     answers = _word_answers(letters, codes, least, spelling, _spell_mixer(letters, spelling, counting))
     static = blocks.select("block", F.lit(0).alias("kind"), F.lit(0).alias("q"), "doc_id", "held", "lens", "codes", F.lit(None).cast("binary").alias("data"))
     coded = static.unionByName(answers.withColumn("kind", F.lit(1)), allowMissingColumns=True)
     coded = kept(coded.repartition(parts, "block").sortWithinPartitions("block", "kind", "q"))
-    sent = spark.sparkContext.broadcast(Sent(_dense_tables(coded, rules, counting)))
+    sent = spark.sparkContext.broadcast(Sent(DENSE_BITS, _dense_tables(coded, rules, counting)))
     blocks.unpersist()
     letters.unpersist()
 
