@@ -418,9 +418,8 @@ _LETTER_DDL = "q int, block long, data binary, counts binary"
 
 
 def _letters(frame: DataFrame, run: Callable, log_q: int) -> DataFrame:
-    """What blocks send to the tasks 0 to 2 ** log_q - 1, dealt to them and kept there in order."""
-    sent = frame.mapInArrow(run, _LETTER_DDL).repartition(1 << log_q, "q").sortWithinPartitions("q", "block")
-    return kept(sent)
+    """What blocks send to the tasks 0 to 2 ** log_q - 1, dealt to them in order."""
+    return frame.mapInArrow(run, _LETTER_DDL).repartition(1 << log_q, "q").sortWithinPartitions("q", "block")
 
 
 def _word_letters(blocks: DataFrame, log_q: int) -> DataFrame:
@@ -912,7 +911,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     counting = max(cores, total["n_bytes"] // COUNTED_BYTES)
     log_q, log_pairs = _log2(total["n_words"] / WORDS_AT_ONCE, _log2(cores, 1)), _log2(total["n_tokens"] / PAIRS_AT_ONCE, _log2(cores, 1))
 
-    letters, least = _word_letters(blocks, log_q), n / OFTEN
+    letters, least = kept(_word_letters(blocks, log_q)), n / OFTEN
     v, most, listed = _stats(letters, least)
     codes = Codes(most, listed, log_q)
     rules = Rules(n, v, codes.bits, min(62, _log2(total["n_tokens"], 1) + 10))
@@ -925,8 +924,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     blocks.unpersist()
     letters.unpersist()
 
-    pairs = _pair_letters(coded, rules, log_pairs)
-    told = kept(_pair_answers(pairs).repartition(parts, "block"))
+    told = kept(_pair_answers(_pair_letters(coded, rules, log_pairs)).repartition(parts, "block"))
     mixer = _mixer(coded, told, rules, sent)
-    pairs.unpersist()
     return _scores(coded, told, rules, sent, mixer)
