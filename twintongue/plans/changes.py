@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ConstraintViolation, ParseError, TriggerAbort, TriggerDepth
@@ -23,6 +23,8 @@ MOST_DEPTH = 3
 #: After so many changes a table's lineage is cut.
 CUT_AFTER = 6
 MOST_CASCADES = 100
+#: Functions that may answer otherwise when they are asked again.
+_FICKLE = re.compile(r"\b(rand\w*|uniform|uuid|shuffle|now|current_\w+|monotonically_\w+|spark_partition_id|input_file_\w+)\b", re.I)
 
 
 def row_expr(text: str) -> str:
@@ -70,24 +72,37 @@ class Changes:
             named = {relation.column(c).name: e for c, e in assignments.items()}
             new = [F.expr(named[c.name]).cast(c.type) if c.name in named else F.col(f"`{c.name}`") for c in relation.columns]
             batch = relation.df.alias(table).where(hit).select(*[x.alias(f"n_{c.name.lower()}") for x, c in zip(new, relation.columns)], *[F.col(f"`{c}`").alias(f"o_{c.lower()}") for c in relation.names])
+            rest = self._others(table, relation, "UPDATE", where, hit)
+        else:
+            rest = None
         batch = cut(self._fired(table, "UPDATE", True, cut(batch)))
-        return self._replace(table, relation, batch)
+        return self._replace(table, relation, batch, rest)
 
     def delete(self, table: str, where: str | None) -> int:
         relation = self.catalog.get(table)
         hit = F.coalesce(F.expr(where), F.lit(False)) if where else F.lit(True)
-        batch = cut(self._fired(table, "DELETE", True, cut(_prefixed(relation.df.alias(table).where(hit), "o_"))))
+        rest = self._others(table, relation, "DELETE", where, hit)
+        batch = cut(_prefixed(relation.df.alias(table).where(hit), "o_"))
+        if rest is None:
+            batch = cut(self._fired(table, "DELETE", True, batch))
+            rest = self._without(relation.df, _plain(batch, relation, "o_"))
         n = batch.count()
-        kept = self._without(relation.df, _plain(batch, relation, "o_"))
-        self._set(table, kept)
+        self._set(table, rest)
         self._orphans(table, relation, batch, None)
         self._fired(table, "DELETE", False, batch)
         return n
 
-    def _replace(self, table: str, relation: Relation, batch: DataFrame) -> int:
+    def _others(self, table: str, relation: Relation, event: str, where: str | None, hit: Column) -> DataFrame | None:
+        """The rows that a statement leaves alone, by its predicate; None if that can't tell, as a trigger may take rows back."""
+        if self.catalog.triggers_of(table, event, True) or _FICKLE.search(where or ""):
+            return None
+        return relation.df.alias(table).where(~hit)
+
+    def _replace(self, table: str, relation: Relation, batch: DataFrame, rest: DataFrame | None = None) -> int:
         """The batch's old rows become its new rows. Rows that a trigger took out of the batch stay as they are."""
-        old, new = cut(_plain(batch, relation, "o_")), cut(_plain(batch, relation, "n_"))
-        rest = cut(self._without(relation.df, old))
+        new = cut(_plain(batch, relation, "n_"))
+        if rest is None:
+            rest = cut(self._without(relation.df, _plain(batch, relation, "o_")))
         self._not_null(relation, new)
         self._unique(table, relation, new, rest)
         self._set(table, rest.unionByName(new))
@@ -110,9 +125,11 @@ class Changes:
     # Constraints
 
     def _not_null(self, relation: Relation, new: DataFrame) -> None:
-        for c in relation.columns:
-            if not c.nullable and not new.where(F.col(f"`{c.name}`").isNull()).isEmpty():
-                raise ConstraintViolation(f"column {c.name} must not be NULL")
+        must = [c.name for c in relation.columns if not c.nullable]
+        if must:
+            for name, nulls in zip(must, new.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(must)]).first()):
+                if nulls:
+                    raise ConstraintViolation(f"column {name} must not be NULL")
 
     def _unique(self, table: str, relation: Relation, new: DataFrame, others: DataFrame) -> None:
         for keys in relation.unique:
