@@ -200,3 +200,14 @@ def test_subqueries_in_changes(spark):
     assert sorted(map(tuple, e.table("t").collect())) == [(1, 11), (2, 20), (3, 16)]
     assert e.sql("DELETE FROM t WHERE EXISTS (SELECT 1 FROM o WHERE o.k = t.id AND w > 5)").rows == 1
     assert sorted(r.id for r in e.table("t").collect()) == [1, 2]
+
+
+def test_changes_leave_other_rows(engine, rows):
+    engine.sql("CREATE TABLE left_alone (id INT, v INT)")
+    engine.sql("INSERT INTO left_alone VALUES (1, 5), (1, 5), (2, NULL), (3, 9), (3, 9)")
+    engine.sql("DELETE FROM left_alone WHERE v > 6")
+    assert rows(engine.sql("SELECT id, v FROM left_alone ORDER BY id")) == [(1, 5), (1, 5), (2, None)]
+    engine.sql("UPDATE left_alone SET v = 7 WHERE v = 5 AND rand() >= 0")
+    assert rows(engine.sql("SELECT id, v FROM left_alone ORDER BY id")) == [(1, 7), (1, 7), (2, None)]
+    engine.sql("DELETE FROM left_alone WHERE v < (SELECT max(v) + 1 FROM left_alone)")
+    assert rows(engine.sql("SELECT id, v FROM left_alone")) == [(2, None)]
