@@ -237,3 +237,21 @@ def test_packed_arrays_come_back():
     got = mixture._unpack(mixture._pack(a, b), (np.int64, len(a)), (np.float32, None))
     assert got[0].tolist() == a.tolist() and got[1].tolist() == b.tolist()
     assert mixture._unpack(mixture._pack(a[:0]), (np.int64, None))[0].size == 0
+
+
+def test_pairs_are_sorted_by_context_and_code():
+    rng = np.random.default_rng(6)
+    context, code = rng.integers(0, 300, 1000).astype(np.uint64), rng.integers(0, 5, 1000)
+    order, want = mixture.sorted_pairs(context, code), np.lexsort((code, context))
+    assert sorted(order) == list(range(1000))
+    assert context[order].tolist() == context[want].tolist() and code[order].tolist() == code[want].tolist()
+    assert mixture.sorted_pairs(context[:0], code[:0]).size == 0
+
+
+def test_frequent_words_have_classes_of_their_own():
+    c = np.array([0, 1, 2, 3, 99, 100, 101, 150, 1 << 33])
+    k = mixture.classes(c, 100.0)
+    assert k[:2].tolist() == [mixture.OTHER] * 2 and k.max() <= mixture.LISTED
+    assert not set(k[c >= 100]) & set(k[c < 100])
+    codes = mixture.Codes(np.bincount(k, minlength=64), [("a", int(k[8])), ("b", int(k[5])), ("c", int(k[6])), ("d", int(k[7]))], 4)
+    assert codes.bits[k[8]] == 0 and codes.at["b"] == 0 and codes.at["c"] == 1 and codes.bits[k[5]] <= 2

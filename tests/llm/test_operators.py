@@ -490,3 +490,29 @@ def test_language_model_against_plain_counts(spark, monkeypatch):
             total += mixer.log10([np.array(x, np.float32) for x in zip(*inputs)], np.array(gates)).sum() + price[w]
         off.append(abs(got[i] - total))
     assert max(off) < 0.5 and np.mean(off) < 0.1
+
+
+def test_language_model_keeps_nothing_beside_its_shuffles(spark, docs):
+    """What is dealt to tasks is on the executors' disks once: as the shuffle's files, from which all uses read."""
+    kept = lambda: set(spark.sparkContext._jsc.getPersistentRDDs().keySet().toArray())
+    before = kept()
+    assert mixture.score(docs).count() == len(ROWS)
+    assert kept() <= before
+
+
+def test_dealt_rows_are_not_dealt_again(spark):
+    from twintongue.llm.common import dealt
+
+    met = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            met.add(b.num_rows)
+            yield b
+
+    rows = dealt(spark.range(200).selectExpr("id", "id % 7 AS k").mapInArrow(count, "id long, k long").repartition(5, "k").sortWithinPartitions("k", "id"))
+    one, two = rows.groupBy("k").count(), rows.groupBy("k").agg(F.sum("id").alias("s"))
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, one.collect())) == [(k, len(range(k, 200, 7))) for k in range(7)]
+    assert sorted(map(tuple, two.collect())) == [(k, sum(range(k, 200, 7))) for k in range(7)]
+    assert met.value == 200
